@@ -127,6 +127,9 @@ def range_hash(running: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.n
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Bytes that end a run of letters: ASCII but for A-Z and a-z.
+NOT_LETTERS = np.arange(256) < 128
+NOT_LETTERS[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = False
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
 
@@ -134,20 +137,20 @@ _LOWER[0x41:0x5B] += 32
 class Words:
     """The words `[^\\x20\\x09-\\x0D]+` of a batch of texts: start, stop (bytes), hash, and first (each text's first word)."""
 
-    def __init__(self, data: np.ndarray, at: np.ndarray, lower: bool = False):
+    def __init__(self, data: np.ndarray, at: np.ndarray, lower: bool = False, ends: np.ndarray = _SPACE):
         if lower:
             data = _LOWER[data]
         self.data, self.at = data, at
-        inside = ~_SPACE[data]
-        begins, ends = inside.copy(), inside.copy()
+        inside = ~ends[data]
+        begins, closes = inside.copy(), inside.copy()
         begins[1:] &= ~inside[:-1]
-        ends[:-1] &= ~inside[1:]
+        closes[:-1] &= ~inside[1:]
         full = at[1:] > at[:-1]
         a, b = at[:-1][full], at[1:][full] - 1
-        begins[a], ends[b] = inside[a], inside[b]
+        begins[a], closes[b] = inside[a], inside[b]
         self.inside = inside
         self.start = np.flatnonzero(begins)
-        self.stop = np.flatnonzero(ends) + 1
+        self.stop = np.flatnonzero(closes) + 1
         self.running = running_hash(data)
         self.hash = range_hash(self.running, self.start, self.stop)
         self.first = np.searchsorted(self.start, at)
@@ -186,3 +189,37 @@ def shingle_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
             yield chain([words.hash[a + j : a + j + 1] for j in range(n)])
         else:
             yield np.zeros(0, np.uint64)
+
+
+# --- small models ------------------------------------------------------------
+
+
+def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int, mod: int = 5) -> DataFrame:
+    """(doc_id, text, label) of `most` labelled rows or so: those whose id hashes lowest, of both labels evenly.
+
+    Only rows with crc32(doc_id as text) mod `mod` other than 0 count. Where a label has no
+    more than `most` / 2 rows, all of them are taken.
+    """
+    rows = labels.where(f"{label} in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max(label).cast("int").alias("label")).where(doc_remainder(mod) != 0)
+    counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
+    share = F.create_map(*[x for k in (0, 1) for x in (F.lit(k), F.lit(min(1.0, most / 2 / max(1, counts.get(k, 0)))))])
+    few = rows.where(F.pmod(F.xxhash64(F.lit("fit"), "doc_id"), F.lit(1_000_000)) < share[F.col("label")] * 1_000_000)
+    return docs.select("doc_id", "text").join(F.broadcast(few), "doc_id")  # `most` ids
+
+
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, ridge: float = 1e-2) -> np.ndarray:
+    """Coefficients (constant first) of a ridge logistic regression, by Newton's method."""
+    x = np.column_stack([np.ones(len(x)), x])
+    w, weight = np.zeros(x.shape[1]), np.ones(len(x)) if weight is None else weight
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        gradient = x.T @ (weight * (y - p)) - ridge * w
+        step = np.linalg.solve((x * (weight * np.maximum(p * (1 - p), 1e-9))[:, None]).T @ x + ridge * np.eye(len(w)), gradient)
+        w = w + np.clip(step, -5, 5)
+        if np.abs(step).max() < 1e-6:
+            break
+    return w
+
+
+def probability(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(w[0] + x @ w[1:], -30, 30)))
