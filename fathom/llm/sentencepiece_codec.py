@@ -38,21 +38,25 @@ def double_array(keys: list[bytes]) -> dict[str, np.ndarray]:
         node[-1] = i
     size = 1 << 16
     base, check, value = np.zeros(size, np.int32), np.full(size, -1, np.int32), np.full(size, -1, np.int32)
-    check[0], free, queue = 0, 1, [(0, root)]
+    check[0], queue = 0, [(0, root)]
+    after = [1] * 10  # where the search goes on, for nodes of so many children (by the bits of their number)
+    block = np.arange(512)[:, None]
     for state, node in queue:
         codes = np.array(sorted(b + 1 for b in node if b >= 0), np.int64)
         value[state] = node.get(-1, -1)
         if not len(codes):
             continue
-        while check[free] >= 0:
-            free += 1
-        at = max(1, free - int(codes[0]))
+        kind = len(codes).bit_length()
+        at = max(1, after[kind] - int(codes[0]))
         while True:
-            if at + 300 >= len(check):
+            if at + len(block) + 300 >= len(check):
                 base, check, value = (np.concatenate([x, np.full(len(x), v, np.int32)]) for x, v in ((base, 0), (check, -1), (value, -1)))
-            if (check[at + codes] < 0).all():
+            fits = (check[at + block + codes] < 0).all(axis=1)
+            if fits.any():
+                at += int(fits.argmax())
                 break
-            at += 1
+            at += len(block)
+        after[kind] = at + int(codes[0])
         base[state] = at
         check[at + codes] = state
         queue.extend((at + b + 1, node[b]) for b in sorted(x for x in node if x >= 0))
