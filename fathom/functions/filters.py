@@ -42,14 +42,17 @@ def _is_array(v: Column) -> Column:
 
 def path_values(root: Column, path: list[str]) -> Column:
     """All values at a path in a VARIANT, as an array: arrays before its last part count with each of their elements."""
-    step = F.array(F.try_variant_get(root, f"$.{path[0]}", "variant"))
-    for part in path[1:]:
-        def inside(v: Column, part: str = part) -> Column:
+    def below(part: str):
+        def inside(v: Column) -> Column:
             elements = F.when(_is_array(v), v.cast("array<variant>")).otherwise(F.array(v))
             return F.transform(elements, lambda e: F.try_variant_get(e, f"$.{part}", "variant"))
 
-        step = F.flatten(F.transform(F.filter(step, lambda v: v.isNotNull()), inside))
-    return F.filter(step, lambda v: v.isNotNull())
+        return inside
+
+    values = F.array(F.try_variant_get(root, f"$.{path[0]}", "variant"))
+    for part in path[1:]:
+        values = F.flatten(F.transform(F.filter(values, lambda v: v.isNotNull()), below(part)))
+    return F.filter(values, lambda v: v.isNotNull())
 
 
 def _variant_equal(v: Column, value) -> Column:

@@ -13,12 +13,16 @@ from ..functions.text import tokens
 from . import knn
 
 
-def term_counts(docs: DataFrame, text: str = "text", analyzer: Callable[[Column], Column] = tokens) -> DataFrame:
+def term_counts(docs: DataFrame, text: str = "text", id_column: str = "doc_id", analyzer: Callable[[Column], Column] = tokens) -> DataFrame:
     """(term, df, cf): documents that hold a term, and its occurrences. Counted in a document before the shuffle."""
-    words = docs.select(F.monotonically_increasing_id().alias("row"), F.explode(analyzer(F.col(text))).alias("term"))
+    words = docs.select(F.col(id_column).alias("row"), F.explode(analyzer(F.col(text))).alias("term"))
     return words.groupBy("row", "term").agg(F.count("*").alias("tf")).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
+def _occurrences(words: str, term: str) -> Column:
+    return F.size(F.filter(words, lambda w: w == F.lit(term)))
+
+
 def bm25(docs: DataFrame, query: Sequence[str], k1: float = 1.2, b: float = 0.75, where: dict | None = None, text: str = "text", id_column: str = "doc_id", analyzer: Callable[[Column], Column] = tokens) -> DataFrame:
     """(id, score) of all documents that hold a query term; a term given twice counts twice.
 
@@ -28,7 +32,7 @@ def bm25(docs: DataFrame, query: Sequence[str], k1: float = 1.2, b: float = 0.75
     terms = Counter(query)
     keep = compile_filter(where, docs) if where else F.lit(True)
     rows = docs.select(F.col(id_column).alias("id"), keep.alias("keep"), analyzer(F.col(text)).alias("words"))
-    tf = [F.size(F.filter("words", lambda w, t=t: w == F.lit(t))).alias(f"tf{i}") for i, t in enumerate(terms)]
+    tf = [_occurrences("words", t).alias(f"tf{i}") for i, t in enumerate(terms)]
     rows = rows.select("id", "keep", F.size("words").alias("dl"), *tf)
     if not terms:
         return rows.where(F.lit(False)).select("id", F.lit(0.0).alias("score"))
