@@ -54,6 +54,15 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dealt_anew(df: DataFrame, *keys: str) -> DataFrame:
+    """df, the result of an aggregate by keys (long), such that a join on them deals out both sides.
+
+    Spark otherwise joins in the aggregate's own partitions, which AQE cannot split: a hot key
+    of the other side would stay in one task.
+    """
+    return df.select(*[F.bitwise_not(F.bitwise_not(c)).alias(c) if c in keys else F.col(c) for c in df.columns])
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

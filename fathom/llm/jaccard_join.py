@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, chunks, cut, partitions, shingle_sets
+from .common import arrow_batches, chunks, cut, dealt_anew, partitions, shingle_sets
 from .graph import components
 
 #: Counters of the sketch, and the blocks in which tasks pass them on. Its size doesn't grow with the data.
@@ -79,7 +79,7 @@ def _sketch(blocks: DataFrame) -> np.ndarray:
     some = salted.repartition(n, "block", "salt").select("block", "counts").mapInArrow(_add_blocks(np.uint8), "block int, counts binary")
     whole = some.repartition(n, "block").mapInArrow(_add_blocks(np.uint32), "block int, counts binary")
     counts = np.zeros((BLOCKS, SKETCH // BLOCKS), np.float64)
-    for block, part in whole.toLocalIterator():
+    for block, part in whole.collect():  # BLOCKS rows, SKETCH counters
         counts[block] = np.frombuffer(bytes(part), np.uint32)
     return np.minimum(255, np.log2(1 + counts.reshape(-1)) * 8).astype(np.uint8)
 
@@ -179,10 +179,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8) -> Data
     levels = spark.sparkContext.broadcast(_sketch(survey.where("block is not null").select("block", "counts")))
 
     classes = members.where("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"))
+    classes = dealt_anew(classes, "d1", "d2", "n_shingles")
     stands = cut(members.where("n_shingles > 0 and doc_id is not null").join(classes, ["d1", "d2", "n_shingles"]).select(F.col("doc_id").alias("doc"), "rep").distinct(), "classes")
 
     postings = cut(docs.mapInArrow(_prefixes(k, threshold, levels), "g long, doc long, n int"), "columns")
     shared = postings.groupBy("g").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("g")
+    shared = dealt_anew(shared, "g")
     lists = cut(postings.join(shared, "g").join(stands, "doc").select("g", F.col("rep").alias("doc"), "n").distinct(), "lists")
 
     often = lists.groupBy("doc").agg(F.count("*").alias("c"), F.min("n").alias("n")).where(f"c >= least({MATCHES}, ceil({permille} * n / 1000.0))")
@@ -190,6 +192,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8) -> Data
 
     # each list's smallest member against the others
     lowest = lists.groupBy("g").agg(F.min(F.struct("doc", "n")).alias("low")).select("g", F.col("low.doc").alias("a"), F.col("low.n").alias("na"))
+    lowest = dealt_anew(lowest, "g")
     stars = lists.join(lowest, "g").where("doc <> a").groupBy("a", F.col("doc").alias("b"), "na", F.col("n").alias("nb")).agg(F.count("*").alias("c"))
     stars = cut(stars.where(_enough("c", threshold)).select("a", "b").distinct(), "stars")
     links = cut(_verified(stars, sets, permille), "verified")
@@ -198,6 +201,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8) -> Data
     # pairs of a list that are still in two components
     named = lists.join(joined.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     open_lists = named.groupBy("g").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("g")
+    open_lists = dealt_anew(open_lists, "g")
     rest = cut(named.join(open_lists, "g").join(often.select("doc"), "doc", "left_semi"), "rest")
     one = rest.select("g", F.col("doc").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
     two = rest.select("g", F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
