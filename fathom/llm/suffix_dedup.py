@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, chunks, cut, documents, mix, partitions, range_hash, running_hash, text_bytes
+from .common import arrow_batches, chunks, cut, dealt_anew, documents, mix, partitions, range_hash, running_hash, text_bytes
 
 #: Bytes of a passage, of an initial bucket, and q-grams in a passage.
 LENGTH, Q = 50, 20
@@ -299,12 +299,12 @@ def _found(docs: DataFrame) -> tuple[DataFrame, int]:
 
     open_ones = entries.where("exists(entries, x -> x.flag = 2)").withColumn("entries", F.expr("filter(entries, x -> x.flag = 2)"))
     contexts = cut(texts.join(open_ones, "doc_id").mapInArrow(_contexts(ranges), "doc long, at long, before long, bytes binary, left long, right long, has_left boolean, has_right boolean"), "contexts")
-    partner = {side: contexts.where(f"has_{side}").groupBy(side).agg(F.min("doc").alias("l"), F.max("doc").alias("h")).where("l < h").select(side, F.lit(True).alias(f"on_{side}")) for side in ("left", "right")}
+    partner = {side: dealt_anew(contexts.where(f"has_{side}").groupBy(side).agg(F.min("doc").alias("l"), F.max("doc").alias("h")).where("l < h").select(side, F.lit(True).alias(f"on_{side}")), side) for side in ("left", "right")}
     partly = contexts.join(partner["left"], "left", "left").join(partner["right"], "right", "left")
     partly = partly.select("doc", "at", "before", "bytes", F.expr("has_left and on_left is not null").alias("on_left"), F.expr("has_right and on_right is not null").alias("on_right")).where("on_left or on_right")
     windows = cut(partly.mapInArrow(_windows, "key long, doc long, start long"), "windows")
     smallest = windows.groupBy("key").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("key", "low")
-    starts = windows.join(smallest, "key").where("doc > low").groupBy(F.col("doc").alias("doc_id")).agg(F.array_distinct(F.collect_list("start")).alias("starts"))
+    starts = windows.join(dealt_anew(smallest, "key"), "key").where("doc > low").groupBy(F.col("doc").alias("doc_id")).agg(F.array_distinct(F.collect_list("start")).alias("starts"))
     covered = entries.withColumn("entries", F.expr("filter(entries, x -> x.flag = 1)")).where("size(entries) > 0")
     return cut(covered.join(starts, "doc_id", "full_outer"), "covered"), ranges
 
