@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.filters import compile_filter
 from ..functions.metrics import cosine, dot, l2_distance, score
 
-#: Queries that one broadcast holds; more go in further blocks.
-QUERY_BLOCK = 2048
+#: Queries and rows that a task of a batched search holds at a time; more go in further blocks.
+QUERY_BLOCK, ROW_BLOCK = 1024, 4096
 
 
 def vector_of(table: DataFrame, key: int, id_column: str = "vec_id", vector: str = "embedding") -> list[float]:
@@ -64,50 +64,60 @@ def search_by_group(table: DataFrame, query: Sequence[float], k: int, group: str
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def batch_search(table: DataFrame, queries: list[tuple[int, Sequence[float]]], k: int, metric: str = "cosine", group: str | None = None, groups: dict[int, int] | None = None) -> DataFrame:
-    """(query_id, rank, id, score) of the k best rows for each query.
+def _pair_scores(q: np.ndarray, c: np.ndarray, metric: str) -> np.ndarray:
+    s = q @ c.T
+    if metric == "cosine":
+        lengths = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(c, axis=1)
+        s = np.divide(s, lengths, out=np.zeros_like(s), where=lengths > 0)
+    elif metric == "l2":
+        s = -np.sqrt(np.maximum(0, (q * q).sum(1)[:, None] + (c * c).sum(1) - 2 * s))
+    return np.round(s, 6)
 
-    Each task multiplies its rows with a block of queries and passes on k rows a batch
-    and query; a ranking over those remains. With `group`, a query sees only rows whose
-    group is groups[query_id].
+
+def _met(queries: DataFrame, rows: DataFrame, k: int, metric: str) -> DataFrame:
+    """(query_id, rank, id, score) of the k best of rows(id, vector, g) for queries(query_id, vector, g), where g and the vectors' lengths are equal.
+
+    Both sides are hashed into blocks of fixed sizes; within a g each query block meets each
+    block of rows in one cell by a shuffle, and a ranking over k rows a cell and query remains.
     """
-    _check(k)
-    spark = table.sparkSession
-    rows = table.where(F.col("embedding").isNotNull()).select("vec_id", "embedding", F.col(group).cast("long").alias("g") if group else F.lit(0).cast("long").alias("g"))
-
-    def block(part: list[tuple[int, Sequence[float]]]) -> DataFrame:
-        shared = spark.sparkContext.broadcast(([q for q, _ in part], np.array([v for _, v in part], np.float64), [groups[q] if groups else 0 for q, _ in part]))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, q, wanted = shared.value
-            for batch in batches:
-                own = [np.asarray(v, np.float64) for v in batch.column("embedding").to_pylist()]
-                fit = [i for i, v in enumerate(own) if len(v) == q.shape[1]]
-                if not fit:
-                    continue
-                c = np.array([own[i] for i in fit])
-                keys = batch.column("vec_id").to_numpy()[fit]
-                of = batch.column("g").to_numpy(zero_copy_only=False)[fit]
-                s = q @ c.T
-                if metric == "cosine":
-                    lengths = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(c, axis=1)
-                    s = np.divide(s, lengths, out=np.zeros_like(s), where=lengths > 0)
-                elif metric == "l2":
-                    s = -np.sqrt(np.maximum(0, (q * q).sum(1)[:, None] + (c * c).sum(1) - 2 * s))
-                s = np.round(s, 6)
-                for i, query in enumerate(ids):
-                    at = np.flatnonzero(of == wanted[i]) if groups else np.arange(len(keys))
-                    at = at[np.lexsort((keys[at], -s[i, at]))[:k]]
-                    if len(at):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), query, np.int64)), pa.array(keys[at]), pa.array(s[i, at])], ["query_id", "id", "score"])
-
-        return rows.mapInArrow(run, "query_id long, id long, score double")
-
-    out = block(queries[:QUERY_BLOCK])
-    for start in range(QUERY_BLOCK, len(queries), QUERY_BLOCK):
-        out = out.unionByName(block(queries[start : start + QUERY_BLOCK]))
+    queries, rows = (x.where("vector is not null and g is not null").withColumn("dim", F.size("vector")) for x in (queries, rows))
+    many = lambda x, block, name: x.groupBy("g", "dim").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias(name))
+    blocks = F.broadcast(many(queries, QUERY_BLOCK, "n_row").join(many(rows, ROW_BLOCK, "n_col"), ["g", "dim"]))  # one row a group
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    q = queries.join(blocks, ["g", "dim"]).withColumn("row", F.pmod(F.xxhash64("query_id"), "n_row").cast("int")).withColumn("col", every("n_col"))
+    c = rows.join(blocks, ["g", "dim"]).withColumn("col", F.pmod(F.xxhash64("id"), "n_col").cast("int")).withColumn("row", every("n_row"))
+
+    def cell(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or right.empty:
+            return pd.DataFrame({"query_id": [], "id": [], "score": []}).astype({"query_id": "int64", "id": "int64", "score": "float64"})
+        asked, keys = left.query_id.to_numpy(), right.id.to_numpy()
+        x, y = np.stack(left.vector.to_numpy()).astype(np.float64), np.stack(right.vector.to_numpy()).astype(np.float64)
+        out = []
+        for start in range(0, len(x), 64):
+            s = _pair_scores(x[start : start + 64], y, metric)
+            for i, own in enumerate(s):
+                at = np.arange(len(keys))
+                if len(keys) > k:  # equal scores at the k-th place stay until they are ordered by id
+                    at = np.flatnonzero(~(own < np.partition(own, len(keys) - k)[len(keys) - k]))
+                at = at[np.lexsort((keys[at], -own[at]))[:k]]
+                out.append((np.full(len(at), asked[start + i]), keys[at], own[at]))
+        return pd.DataFrame({n: np.concatenate(v) for n, v in zip(("query_id", "id", "score"), zip(*out))})
+
+    cells = ("g", "dim", "row", "col")
+    hits = q.select(*cells, "query_id", "vector").groupBy(*cells).cogroup(c.select(*cells, "id", "vector").groupBy(*cells)).applyInPandas(cell, "query_id long, id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+    return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+
+
+def batch_search(table: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", group: str | None = None) -> DataFrame:
+    """(query_id, rank, id, score) of the k best rows of table for each row of queries (both vec_id, embedding, and `group`).
+
+    With `group`, a query sees only rows of its own group. Neither side is collected; there
+    may be any number of queries.
+    """
+    _check(k)
+    own = lambda x, name: x.select(F.col("vec_id").cast("long").alias(name), F.col("embedding").alias("vector"), (F.col(group).cast("long") if group else F.lit(0).cast("long")).alias("g"))
+    return _met(own(queries, "query_id"), own(table, "id"), k, metric)
 
 
 # --- inverted lists ----------------------------------------------------------

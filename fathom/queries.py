@@ -70,25 +70,29 @@ for _n, (_f, _w) in _FILTERS.items():
 _add("knn_overfetch", _knn(where=_FILTERS["eq"][0], overfetch=4), f"select id, score from (select vec_id id, label, {_S['cosine']} score from embeddings e, {_Q0} order by score desc, id limit {4 * K}) where label = 3 {_TOP}")
 
 
-def _batch(metric: str, grouped: bool = False):
+#: The rows that ask: all whose id is divisible by 100; the first twenty only in the small samples named knn_batch_*.
+_ASKED, _FIRST = "vec_id % 100 = 0", "vec_id < 20"
+
+
+def _batch(metric: str, grouped: bool = False, asked: str = _FIRST):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         e = _table(spark, sf_dir, "embeddings")
-        rows = e.where(F.col("vec_id") < 20).select("vec_id", "embedding", "label").collect()  # the twenty queries
-        asked = [(r[0], [float(x) for x in r[1]]) for r in rows]
-        return knn.batch_search(e, asked, K, metric, "label" if grouped else None, {r[0]: r[2] for r in rows} if grouped else None)
+        return knn.batch_search(e, e.where(asked), K, metric, "label" if grouped else None)
 
     return run
 
 
-def _batch_sql(metric: str, where: str = "true") -> str:
-    return f"""with q as (select vec_id query_id, embedding::double[] v, label from embeddings where vec_id < 20),
+def _batch_sql(metric: str, where: str = "true", asked: str = _FIRST) -> str:
+    return f"""with q as (select vec_id query_id, embedding::double[] v, label from embeddings where {asked}),
     s as (select query_id, vec_id id, {_S[metric]} score from embeddings e, q where {where})
     select query_id, rank::int rank, id, score from (select *, row_number() over (partition by query_id order by score desc, id) rank from s) where rank <= {K}"""
 
 
 for _m in _S:
     _add(f"knn_batch_{_m}", _batch(_m), _batch_sql(_m))
+    _add(f"knn_all_{_m}", _batch(_m, asked=_ASKED), _batch_sql(_m, asked=_ASKED))
 _add("knn_batch_filtered", _batch("cosine", True), _batch_sql("cosine", "e.label = q.label"))
+_add("knn_all_filtered", _batch("cosine", True, _ASKED), _batch_sql("cosine", "e.label = q.label", _ASKED))
 
 
 def knn_per_label(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -230,11 +234,22 @@ _add("hybrid_rrf", _hybrid(fusion="rrf"), _hybrid_sql(1, 1, rrf=True))
 _add("hybrid_explain", _hybrid(explain=0), f"select * from ({_hybrid_sql()}) where id = 0")
 
 _STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
-_ENGLISH = rf"select unnest(list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda t: strlen(t) between 2 and 50 and t not in ({_STOP}))) t from documents where lang = 'en'"
-_add("english_terms", lambda s, d: _table(s, d, "documents").where("lang = 'en'").select(F.explode(T.english(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n")), f"""select term, count(*) n from (select case when strlen(t) <= 4 then t
+_ENGLISH_ALL = rf"select unnest(list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda t: strlen(t) between 2 and 50 and t not in ({_STOP}))) t from documents"
+
+
+def _english(where: str):
+    return lambda s, d: _table(s, d, "documents").where(where).select(F.explode(T.english(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+
+
+def _english_sql(source: str) -> str:
+    return f"""select term, count(*) n from (select case when strlen(t) <= 4 then t
     when t like '%ing' then case when t like '%eing' then left(t, length(t) - 4) else left(t, length(t) - 3) end when t like '%ed' then left(t, length(t) - 2) when t like '%ly' then left(t, length(t) - 2)
     when t like '%ies' then left(t, length(t) - 3) || 'y' when t like '%es' then left(t, length(t) - 2) when t like '%s' and t not like '%ss' then left(t, length(t) - 1)
-    when t like '%ness' or t like '%ment' then left(t, length(t) - 4) when t like '%tion' then left(t, length(t) - 3) || 't' else t end term from ({_ENGLISH})) where term <> '' group by 1""")
+    when t like '%ness' or t like '%ment' then left(t, length(t) - 4) when t like '%tion' then left(t, length(t) - 3) || 't' else t end term from ({source})) where term <> '' group by 1"""
+
+
+_add("english_terms", _english("lang = 'en'"), _english_sql(f"{_ENGLISH_ALL} where lang = 'en'"))
+_add("english_terms_all", _english("true"), _english_sql(_ENGLISH_ALL))
 _add("detect_language", lambda s, d: _table(s, d, "documents").select("doc_id", T.detect_language(F.col("text")).alias("detected")), r"""select doc_id, case when 2 * length(regexp_replace(text, '[^\x{600}-\x{6FF}]', '', 'g')) > letters then 'arabic' when 2 * length(regexp_replace(text, '[^a-zA-Z]', '', 'g')) > letters then 'english' else 'universal' end detected
     from (select doc_id, text, length(regexp_replace(text, '[^\p{L}]', '', 'g')) letters from documents)""")
 
@@ -278,9 +293,13 @@ _add("tier_policy", _objects, f"with {_TIERS} select * from p")
 _add("tier_stats", lambda s, d: _objects(s, d).groupBy("tier", "next_tier").agg(F.count("*").alias("n")), f"with {_TIERS} select tier, next_tier, count(*) n from p group by all")
 
 
-def shard_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shards = _table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("shard"))
-    return governance.placements(shards, 5, 3)
+def _placement(table: str, key: str):
+    return lambda s, d: governance.placements(_table(s, d, table).select(F.col(key).cast("long").alias("shard")), 5, 3)
+
+
+def _placement_sql(table: str, key: str) -> str:
+    return f"select {key}::bigint shard, (({key} + c.range) % 5)::bigint node, case when c.range = 0 then 'primary' else 'replica' end \"role\" from {table}, range(3) c"
 
 
-_add("shard_placement", shard_placement, "select n_nationkey::bigint shard, ((n_nationkey + c.range) % 5)::bigint node, case when c.range = 0 then 'primary' else 'replica' end \"role\" from nation, range(3) c")
+_add("shard_placement", _placement("nation", "n_nationkey"), _placement_sql("nation", "n_nationkey"))
+_add("shard_placement_orders", _placement("orders", "o_orderkey"), _placement_sql("orders", "o_orderkey"))  # one shard an order: grows with the tables
