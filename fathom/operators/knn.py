@@ -14,6 +14,8 @@ from ..functions.metrics import cosine, dot, l2_distance, score
 
 #: Queries and rows that a task of a batched search holds at a time; more go in further blocks.
 QUERY_BLOCK, ROW_BLOCK = 1024, 4096
+#: Rows for each inverted list that the centroids are fitted to, and rounds of fitting.
+SAMPLE, ROUNDS = 256, 15
 
 
 def vector_of(table: DataFrame, key: int, id_column: str = "vec_id", vector: str = "embedding") -> list[float]:
@@ -143,6 +145,45 @@ def probe(assigned: DataFrame, centers: list[list[float]], query: Sequence[float
     return search(assigned.where(F.col("centroid").isin(lists)), query, k, metric)
 
 
+def fit_centroids(table: DataFrame, n: int) -> list[list[float]]:
+    """n centroids at most, by k-means on the n * SAMPLE vectors whose ids hash lowest; further rows are assigned, not fitted."""
+    rows = table.where("vec_id is not null and embedding is not null").orderBy(F.xxhash64("vec_id"), "vec_id").limit(n * SAMPLE).select("embedding").collect()  # a bounded sample
+    if not rows:
+        return []
+    x = np.array([r[0] for r in rows], np.float64)
+    c = np.unique(x, axis=0)
+    c = c[np.random.default_rng(0).permutation(len(c))[:n]]
+    for _ in range(ROUNDS):
+        near = ((c * c).sum(1) - 2 * x @ c.T).argmin(1)
+        c = np.array([x[near == i].mean(0) if (near == i).any() else c[i] for i in range(len(c))])
+    return c.tolist()
+
+
+def ivf_search(table: DataFrame, queries: DataFrame, centers: list[list[float]], k: int, nprobe: int) -> DataFrame:
+    """(query_id, rank, id, score) by l2: for each row of queries(vec_id, embedding) the k best in the lists of its nprobe nearest centroids.
+
+    Every row of table is in one list. Approximate: neighbours in other lists are missed;
+    with nprobe = len(centers) none is.
+    """
+    _check(k)
+    if not centers:
+        return _met(*(table.select(F.col("vec_id").alias(n), F.col("embedding").alias("vector"), F.lit(0).alias("g")) for n in ("query_id", "id")), k, "l2")
+    known = np.array(centers)
+
+    def nearest(n: int):
+        @F.pandas_udf("array<int>")
+        def lists(vectors: pd.Series) -> pd.Series:
+            x = np.stack(vectors.to_numpy()).astype(np.float64)
+            return pd.Series(list(np.argsort((known * known).sum(1) - 2 * x @ known.T, axis=1, kind="stable")[:, :n].astype(np.int32)))
+
+        return lists
+
+    sound = lambda x: x.where(F.size("embedding") == known.shape[1])
+    probed = sound(queries).select(F.col("vec_id").cast("long").alias("query_id"), F.col("embedding").alias("vector"), F.explode(nearest(nprobe)("embedding")).alias("g"))
+    listed = sound(table).select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").alias("vector"), nearest(1)("embedding")[0].alias("g"))
+    return _met(probed, listed, k, "l2")
+
+
 # --- scalar quantisation -----------------------------------------------------
 
 
@@ -168,4 +209,4 @@ def quantize(table: DataFrame, ranges: DataFrame, bits: int = 8) -> DataFrame:
     return coded.withColumn("decoded", F.transform("code", lambda c, i: F.get(low, i) + F.get(step, i) * c))
 
 
-__all__ = ["assign", "batch_search", "centroids", "cosine", "dot", "l2_distance", "probe", "quantize", "search", "search_by_group", "train_quantizer", "vector_of"]
+__all__ = ["assign", "batch_search", "centroids", "cosine", "dot", "fit_centroids", "ivf_search", "l2_distance", "probe", "quantize", "search", "search_by_group", "train_quantizer", "vector_of"]

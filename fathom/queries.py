@@ -125,11 +125,23 @@ def _probe(nprobe: int):
 
 
 _add("ivf_assign", ivf_assign, f"{_ASSIGN} select vec_id, centroid from a")
-for _n in (2, _LISTS):
+for _n in (2, _LISTS):  # the reference's defaults (8 lists of the first vectors, 2 probed) as parity only: about half of the neighbours are missed; ivf_search is the index search
     _add(f"ivf_probe_{_n}", _probe(_n), f"""{_ASSIGN}, q as (select embedding::double[] v from embeddings where vec_id = 9),
     p as (select centroid from c, q order by list_distance(c.v, q.v), centroid limit {_n})
     select e.vec_id id, {_S['l2']} score from embeddings e join a using (vec_id), q where a.centroid in (select centroid from p) {_TOP}""")
 
+#: Lists of the index search, fitted by k-means, and those that a query looks into: recall of 0.9 and more on vectors without clusters.
+_FITTED, _PROBED = 16, 14
+
+
+def ivf_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest by l2 of every row whose id is divisible by 100; approximate, so without SQL: tests hold its recall against brute force."""
+    e = _table(spark, sf_dir, "embeddings")
+    return knn.ivf_search(e, e.where(_ASKED), knn.fit_centroids(e, _FITTED), K, _PROBED)
+
+
+_QUERIES["ivf_search"] = ivf_search
+
 _RANGES = "r as (select pos - 1 pos, min(x) low, max(x) high from (select unnest(embedding::double[]) x, generate_subscripts(embedding, 1) pos from embeddings) group by 1)"
 _add("sq_train", lambda s, d: knn.train_quantizer(_table(s, d, "embeddings")).select(F.col("pos").cast("long").alias("pos"), "low", "high"), f"with {_RANGES} select pos, low, high from r")
 

@@ -1,7 +1,8 @@
-"""Batched search over all queries of a table, against brute force."""
+"""Batched and index search over all queries of a table, against brute force."""
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from fathom import queries as retrieval
 from fathom.operators import knn
@@ -35,3 +36,23 @@ def test_more_blocks_than_one(spark, vectors, monkeypatch):
         got.setdefault(r.query_id, []).append(r.id)
     ids, x = vectors
     assert got == {i: best(ids, x, x[n]) for n, i in enumerate(ids.tolist())}
+
+
+def test_index_recall(spark, vectors):
+    ids, x = vectors
+    got = {}
+    for r in retrieval.queries()["ivf_search"](spark, SF).collect():
+        got.setdefault(r.query_id, set()).add(r.id)
+    asked = [n for n, i in enumerate(ids.tolist()) if i % 100 == 0]
+    assert set(got) == {int(ids[n]) for n in asked}
+    assert np.mean([len(got[int(ids[n])] & set(best(ids, x, x[n]))) / 10 for n in asked]) >= 0.9
+
+
+def test_index_holds_every_row(spark, vectors):
+    ids, x = vectors
+    e = spark.read.parquet(f"{SF}/embeddings.parquet")
+    centers = knn.fit_centroids(e, 16)
+    got = {}
+    for r in knn.ivf_search(e, e.where(F.col("vec_id") % 100 == 0), centers, 10, len(centers)).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.id)
+    assert got == {i: best(ids, x, x[n]) for n, i in enumerate(ids.tolist()) if i % 100 == 0}
