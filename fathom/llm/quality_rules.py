@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 
 from .common import Words, arrow_batches, chunks, cut, documents, mix, range_hash, text_bytes
 
-#: Common words of a language's histogram, and candidates for them that a task passes on.
-COMMON, PASSED_ON = 64, 2048
-#: Languages that get a reference: those with the most texts.
+#: Common words of a language's histogram, and counted words that a task holds before it passes them on.
+COMMON, HELD = 64, 1 << 20
+#: Languages that a text is held against at a time; every language has a reference.
 LANGUAGES = 64
 #: A text is rejected beyond these distances from its nearest language.
 MOST_CLASSES, MOST_WORDS = 0.28, 0.50
@@ -55,37 +55,47 @@ def class_counts(data: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Partial counts of a task: every word of every language, however rare. What is held is passed on beyond HELD words."""
     classes: dict[str, np.ndarray] = {}
-    common: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+    found: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
     texts: dict[str, int] = {}
     words_of: dict[str, int] = {}
+    held = 0
+
+    def rows(lang: str, kind: str, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        first = pa.array(np.zeros(len(keys), np.int64))
+        return pa.RecordBatch.from_arrays([pa.array([lang], pa.string()).take(first), pa.array([kind], pa.string()).take(first), pa.array(keys.astype(np.int64)), pa.array(counts.astype(np.int64))], ["lang", "kind", "key", "count"])
+
+    def passed_on() -> Iterator[pa.RecordBatch]:
+        for lang in list(found):
+            own, counts = (np.concatenate(x) for x in zip(*found.pop(lang)))
+            own, back = np.unique(own, return_inverse=True)
+            counts = np.bincount(back, weights=counts, minlength=len(own))
+            for s in range(0, len(own), 100_000):
+                yield rows(lang, "word", own[s : s + 100_000].view(np.int64), counts[s : s + 100_000])
+
     for batch in chunks(batches):
         data, at = text_bytes(batch.column("text"))
         words, counts = Words(data, at, lower=True), class_counts(data, at)
         langs = np.array(["" if x is None else x for x in batch.column("lang").to_pylist()])
-        per_word = np.repeat(langs, np.diff(words.first))
-        for lang in np.unique(langs):
-            classes[lang] = classes.get(lang, 0) + counts[langs == lang].sum(0)
-            texts[lang] = texts.get(lang, 0) + int((langs == lang).sum())
-            own, n = np.unique(words.hash[per_word == lang], return_counts=True)
+        names, of = np.unique(langs, return_inverse=True)
+        per_word = np.repeat(of, np.diff(words.first))
+        order = np.argsort(per_word, kind="stable")
+        cuts = np.searchsorted(per_word[order], np.arange(len(names) + 1))
+        for i, lang in enumerate(names.tolist()):
+            classes[lang] = classes.get(lang, 0) + counts[of == i].sum(0)
+            texts[lang] = texts.get(lang, 0) + int((of == i).sum())
+            own, n = np.unique(words.hash[order[cuts[i] : cuts[i + 1]]], return_counts=True)
             words_of[lang] = words_of.get(lang, 0) + int(n.sum())
-            if lang in common:
-                merged, back = np.unique(np.concatenate([common[lang][0], own]), return_inverse=True)
-                own, n = merged, np.bincount(back, weights=np.concatenate([common[lang][1], n])).astype(np.int64)
-            if len(own) > 8 * PASSED_ON:  # common words stay among the foremost
-                top = np.argpartition(-n, 8 * PASSED_ON)[: 8 * PASSED_ON]
-                own, n = own[top], n[top]
-            common[lang] = own, n
-    out: list[list] = [[], [], [], []]
+            found.setdefault(lang, []).append((own, n))
+            held += len(own)
+        if held > HELD:
+            yield from passed_on()
+            held = 0
+    yield from passed_on()
     for lang in classes:
-        own, n = common[lang]
-        top = np.argsort(-n, kind="stable")[:PASSED_ON]
-        rows = [("class", c, int(v)) for c, v in enumerate(classes[lang])] + [("all", 0, texts[lang]), ("all", 1, words_of[lang])]
-        rows += [("word", w, c) for w, c in zip(own[top].view(np.int64).tolist(), n[top].tolist())]
-        for kind, key, count in rows:
-            for column, value in zip(out, (lang, kind, key, count)):
-                column.append(value)
-    yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int64())], ["lang", "kind", "key", "count"])
+        yield rows(lang, "class", np.arange(CLASSES), classes[lang])
+        yield rows(lang, "all", np.arange(2), np.array([texts[lang], words_of[lang]]))
 
 
 def references(docs: DataFrame) -> dict:
@@ -93,13 +103,16 @@ def references(docs: DataFrame) -> dict:
     arrow_batches(docs.sparkSession)
     found = docs.select("text", F.col("lang").cast("string").alias("lang")).mapInArrow(_survey, "lang string, kind string, key long, count long")
     counted = cut(found.groupBy("lang", "kind", "key").agg(F.sum("count").alias("count")), "histograms")
-    most = [r["lang"] for r in counted.where("kind = 'all' and key = 0").orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
+    most = [r["lang"] for r in counted.where("kind = 'all' and key = 0").orderBy(F.desc("count"), "lang").collect()]
     by = Window.partitionBy("lang").orderBy(F.desc("count"), "key")
     top = counted.where("kind = 'word'").withColumn("r", F.row_number().over(by)).where(f"r <= {COMMON}").drop("r")
-    rows = counted.where("kind <> 'word'").unionByName(top).where(F.col("lang").isin(most)).collect()  # LANGUAGES x (COMMON + 10) rows
+    rows = counted.where("kind <> 'word'").unionByName(top).collect()  # COMMON + 10 rows a language
+    of: dict[str, list] = {}
+    for r in rows:
+        of.setdefault(r["lang"], []).append(r)
     out = {"words": [], "shares": [], "classes": []}
     for lang in most:
-        own = [r for r in rows if r["lang"] == lang]
+        own = of[lang]
         total = sum(r["count"] for r in own if r["kind"] == "all" and r["key"] == 1)
         words = sorted((r["key"], r["count"]) for r in own if r["kind"] == "word")
         classes = np.zeros(CLASSES)
@@ -134,19 +147,21 @@ def distances(words: Words, lowered: Words, data: np.ndarray, at: np.ndarray, kn
     best = np.full(n, np.inf)
     by_class, by_word = np.zeros(n), np.zeros(n)
     text = np.repeat(np.arange(n), counts)
-    # one ordered list of all languages' common words: each word of the texts is looked up once
-    every = np.unique(np.concatenate(known["words"])) if known["words"] else np.zeros(0, np.uint64)
-    if not len(every):
-        return by_class, by_word
-    place = np.minimum(np.searchsorted(every, lowered.hash), len(every) - 1)
-    hit = every[place] == lowered.hash
-    table = np.bincount(text[hit] * len(every) + place[hit], minlength=n * len(every)).reshape(n, len(every))
-    for common, share, classes in zip(known["words"], known["shares"], known["classes"]):
-        own = table[:, np.searchsorted(every, common)]
-        own = np.column_stack([own, counts - own.sum(1)]) / np.maximum(1, counts)[:, None]
-        c, w = js_distance(shares, classes), js_distance(own, share)
-        nearer = (c + w < best) & (counts > 0)
-        best[nearer], by_class[nearer], by_word[nearer] = (c + w)[nearer], c[nearer], w[nearer]
+    for s in range(0, len(known["words"]), LANGUAGES):
+        # one ordered list of these languages' common words: each word of the texts is looked up once in it
+        part = {k: v[s : s + LANGUAGES] for k, v in known.items()}
+        every = np.unique(np.concatenate(part["words"]))
+        if not len(every):
+            continue
+        place = np.minimum(np.searchsorted(every, lowered.hash), len(every) - 1)
+        hit = every[place] == lowered.hash
+        table = np.bincount(text[hit] * len(every) + place[hit], minlength=n * len(every)).reshape(n, len(every))
+        for common, share, classes in zip(part["words"], part["shares"], part["classes"]):
+            own = table[:, np.searchsorted(every, common)]
+            own = np.column_stack([own, counts - own.sum(1)]) / np.maximum(1, counts)[:, None]
+            c, w = js_distance(shares, classes), js_distance(own, share)
+            nearer = (c + w < best) & (counts > 0)
+            best[nearer], by_class[nearer], by_word[nearer] = (c + w)[nearer], c[nearer], w[nearer]
     return by_class, by_word
 
 
@@ -217,7 +232,7 @@ def with_quality_rules(docs: DataFrame, known: dict | None = None, prefix: str =
     """
     arrow_batches(docs.sparkSession)
     known = references(docs) if known is None else known
-    shared = docs.sparkSession.sparkContext.broadcast(known)  # LANGUAGES x COMMON numbers
+    shared = docs.sparkSession.sparkContext.broadcast(known)  # COMMON + 8 numbers a language
     names = [prefix + f for f in FIELDS]
     held = docs.drop(*[c for c in docs.columns if c.lower() in [n.lower() for n in names]])
     schema = ", ".join([*(f"`{c}` {t}" for c, t in held.dtypes), *(f"{n} {t}" for n, t in zip(names, FIELDS.values()))])
