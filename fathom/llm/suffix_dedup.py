@@ -38,6 +38,19 @@ LENGTH, Q = 50, 20
 WINDOW = LENGTH - Q + 1
 HALF = LENGTH - WINDOW // 2  # 35
 _POSITION = np.uint64((1 << 24) - 1)
+#: Windows of a text that are ranked at once; with one window more, their positions fit into _POSITION.
+SEGMENT = 1 << 22
+
+
+def _smallest(hashes: np.ndarray) -> np.ndarray:
+    """For each window of WINDOW hashes where its smallest stands, of equal ones the leftmost."""
+    best = (hashes & ~_POSITION) | np.arange(len(hashes), dtype=np.uint64)
+    width = 1
+    while 2 * width <= WINDOW:
+        best = np.minimum(best[:-width], best[width:])
+        width *= 2
+    best = np.minimum(best[: len(best) - (WINDOW - width)], best[WINDOW - width :])
+    return (best & _POSITION).astype(np.int64)
 
 
 class Anchors:
@@ -52,19 +65,14 @@ class Anchors:
             return
         grams = np.arange(len(data) - Q + 1)
         hashes = range_hash(self.running, grams, grams + Q)
-        best = (hashes & ~_POSITION) | grams.astype(np.uint64)  # the smallest hash, and of equal ones the leftmost
-        width = 1
-        while 2 * width <= WINDOW:
-            best = np.minimum(best[:-width], best[width:])
-            width *= 2
-        best = np.minimum(best[: len(best) - (WINDOW - width)], best[WINDOW - width :])
         sizes = np.diff(at)
         inside = np.zeros(len(data) + 1, np.int8)
         long = sizes >= LENGTH
         inside[at[:-1][long]] += 1
         inside[at[1:][long] - LENGTH + 1] -= 1
-        starts = np.flatnonzero(np.cumsum(inside[: len(best)], dtype=np.int8))
-        chosen = (best[starts] & _POSITION).astype(np.int64)
+        windows = np.cumsum(inside[: len(data) - LENGTH + 1], dtype=np.int8)
+        # in segments whose windows overlap: a position in a segment fits into _POSITION, whatever the text's length
+        chosen = np.concatenate([s + _smallest(hashes[s : s + SEGMENT + WINDOW - 1])[np.flatnonzero(windows[s : s + SEGMENT])] for s in range(0, len(windows), SEGMENT)])
         if not len(chosen):
             return
         self.at = chosen[np.concatenate([[True], chosen[1:] != chosen[:-1]])]

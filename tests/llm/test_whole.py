@@ -1,9 +1,9 @@
-"""Nothing is cut off: rare words, many languages."""
+"""Nothing is cut off: rare words, many languages, long texts."""
 
 import numpy as np
 import pytest
 
-from fathom.llm import quality_rules
+from fathom.llm import quality_rules, suffix_dedup
 from fathom.llm.common import Words
 
 
@@ -29,3 +29,21 @@ def test_quality_references_of_all_languages(spark):
     assert len(known["words"]) == 150
     got = quality_rules.with_quality_rules(docs.select("doc_id", "text"), known).collect()
     assert len(got) == 150 and max(r.word_distance for r in got) < 1e-6  # each is nearest to its own
+
+
+def test_anchors_beyond_16_mib():
+    data = np.random.default_rng(3).integers(0, 256, (1 << 24) + 5000).astype(np.uint8)
+    tail = 1 << 24
+    whole = suffix_dedup.Anchors(data, np.array([0, len(data)]))
+    alone = suffix_dedup.Anchors(data[tail:], np.array([0, len(data) - tail]))
+    inner = whole.at[whole.at >= tail + 100] - tail
+    assert len(inner) and inner.tolist() == alone.at[alone.at >= 100].tolist()
+
+
+def test_anchors_of_segments(monkeypatch):
+    data = np.frombuffer((b"abc" * 40 + bytes(range(97, 123)) * 9) * 20, np.uint8)
+    at = np.array([0, 700, 730, len(data)])
+    want = suffix_dedup.Anchors(data, at)
+    monkeypatch.setattr(suffix_dedup, "SEGMENT", 64)
+    got = suffix_dedup.Anchors(data, at)
+    assert got.at.tolist() == want.at.tolist() and got.bucket.tolist() == want.bucket.tolist()
