@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from fathom.llm import quality_rules, suffix_dedup
+from fathom.llm import language_id, quality_rules, suffix_dedup
 from fathom.llm.common import Words
 
 
@@ -47,3 +47,32 @@ def test_anchors_of_segments(monkeypatch):
     monkeypatch.setattr(suffix_dedup, "SEGMENT", 64)
     got = suffix_dedup.Anchors(data, at)
     assert got.at.tolist() == want.at.tolist() and got.bucket.tolist() == want.bucket.tolist()
+
+
+def spoken(seed, letters, n=400):
+    rng = np.random.default_rng(seed)
+    words = ["".join(rng.choice(list(letters), 5)) for _ in range(40)]
+    return lambda i: " ".join(np.random.default_rng([seed, i]).choice(words, n))
+
+
+@pytest.mark.parametrize("size", [None, 1 << 16])
+def test_every_language_is_learned(spark, monkeypatch, size):
+    """40 languages of three scripts, the rarer ones too, in one pass and in many."""
+    scripts = ["abcdefghijklmnopqrstuvwxyz", "абвгдежзийклмнопрстуфхцчшщ", "".join(map(chr, range(0x4E00, 0x4E80)))]
+    says = {f"l{k:02}": spoken(k, scripts[k % 3]) for k in range(40)}
+    rows = [(1000 * k + i, say(i), lang) for k, (lang, say) in enumerate(says.items()) for i in range(3 if k < 38 else 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    if size:
+        monkeypatch.setattr(language_id, "PASS_BYTES", size)
+    asked = spark.createDataFrame([(k, say(9), lang) for k, (lang, say) in enumerate(says.items())], "doc_id long, text string, lang string")
+    got = language_id.with_language(asked, language_id.fit(docs)).collect()
+    assert len(got) == 40 and all(r.lang_pred == r.lang for r in got)
+
+
+def test_whole_texts_are_learned(spark):
+    """What stands after the first 4,000 characters of a text is learned too."""
+    a, b = spoken(1, "abcdefgh", 60), spoken(2, "abcdefgh", 60)
+    same = "hgfedcba " * 700
+    docs = spark.createDataFrame([(1, same + a(0), "a"), (2, same + b(0), "b")], "doc_id long, text string, lang string")
+    asked = spark.createDataFrame([(1, a(0), "a"), (2, b(0), "b")], "doc_id long, text string, lang string")
+    assert all(r.lang_pred == r.lang for r in language_id.with_language(asked, language_id.fit(docs)).collect())
