@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fathom.llm import jaccard_join, packing, quality_rules, suffix_dedup, toxicity
 from fathom.llm.common import cut, documents
 
-#: No stage can be said in SQL: the first needs a fitted model. tests/llm holds the stages against brute force.
+#: No stage can be said in SQL: the first needs a fitted model. The stages as they are used here have no brute-force test yet.
 ORACLE_SQL = None
 
 
