@@ -6,7 +6,6 @@ NumPy, so that a pass over the corpus costs a few nanoseconds a byte.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -38,20 +37,36 @@ def arrow_batches(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster shares; one of our own only where the session names none."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="spark-fathom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+    """The folder that the cluster shares: spark.checkpoint.dir, else one below the session's warehouse."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/fathom-cut"
     return folder.rstrip("/")
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """Writes df into the shared folder and reads it again: later steps neither repeat nor depend on its lineage."""
+    """Writes df into the shared folder and reads it again: later steps neither repeat nor depend on its lineage.
+
+    What was shuffled on the way is removed as soon as the table is written.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/fathom-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(key, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables that `cut` has written; nothing may read them any more."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table._cut_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def dealt_anew(df: DataFrame, *keys: str) -> DataFrame:
@@ -203,17 +218,19 @@ def shingle_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
 # --- small models ------------------------------------------------------------
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int, mod: int = 5) -> DataFrame:
-    """(doc_id, text, label) of `most` labelled rows or so: those whose id hashes lowest, of both labels evenly.
+def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int, mod: int = 5) -> tuple[DataFrame, float]:
+    """(doc_id, text, label) of `most` labelled rows or so, and the share of label 1 among all rows that may be learned from.
 
-    Only rows with crc32(doc_id as text) mod `mod` other than 0 count. Where a label has no
-    more than `most` / 2 rows, all of them are taken.
+    Only rows with crc32(doc_id as text) mod `mod` other than 0 count, for both. The rows taken
+    are those whose id hashes lowest, of both labels evenly; where a label has no more than
+    `most` / 2 rows, all of them are. An id that is labelled twice has the greater label.
+    Null ids and labels other than 0 and 1 are left out.
     """
     rows = labels.where(f"{label} in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max(label).cast("int").alias("label")).where(doc_remainder(mod) != 0)
     counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
-    share = F.create_map(*[x for k in (0, 1) for x in (F.lit(k), F.lit(min(1.0, most / 2 / max(1, counts.get(k, 0)))))])
-    few = rows.where(F.pmod(F.xxhash64(F.lit("fit"), "doc_id"), F.lit(1_000_000)) < share[F.col("label")] * 1_000_000)
-    return docs.select("doc_id", "text").join(F.broadcast(few), "doc_id")  # `most` ids
+    part = F.create_map(*[x for k in (0, 1) for x in (F.lit(k), F.lit(min(1.0, most / 2 / max(1, counts.get(k, 0)))))])
+    few = rows.where(F.pmod(F.xxhash64(F.lit("fit"), "doc_id"), F.lit(1_000_000)) < part[F.col("label")] * 1_000_000)
+    return docs.select("doc_id", "text").join(F.broadcast(few), "doc_id"), counts.get(1, 0) / max(1, sum(counts.values()))  # `most` ids
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, ridge: float = 1e-2) -> np.ndarray:

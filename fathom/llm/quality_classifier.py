@@ -70,7 +70,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
     """
     spark = docs.sparkSession
     arrow_batches(spark)
-    rows = labelled(docs, labels, "quality", FIT_ROWS).withColumn("half", F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2))).persist()
+    rows, share = labelled(docs, labels, "quality", FIT_ROWS)
+    rows = rows.withColumn("half", F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2))).persist()
     model: dict = {"weights": np.array([2.0] + [0.0] * 6)}
     for label, name in ((1, "good"), (0, "bad")):
         mine = rows.where(f"label = {label} and half = 0 and text is not null")
@@ -88,7 +89,6 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
     seen = rows.where("half = 1").mapInArrow(measure, "n double, good double, bad double, label int").toPandas()  # FIT_ROWS rows of numbers
     if seen.label.nunique() == 2:
         x, y = features(seen[["n", "good", "bad"]].to_numpy()), seen.label.to_numpy(np.float64)
-        share = labels.where("quality in (0, 1)").agg(F.avg("quality")).first()[0]
         model["weights"] = logistic(x, y, np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean())))
     rows.unpersist()
     return model

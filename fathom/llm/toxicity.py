@@ -139,7 +139,8 @@ def features(found: np.ndarray) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame) -> dict:
     """The model: scores of tokens and stems, extreme-value parameters and the calibration, from FIT_ROWS labelled rows at most."""
     arrow_batches(docs.sparkSession)
-    rows = labelled(docs, labels, "toxic", FIT_ROWS).persist()
+    rows, share = labelled(docs, labels, "toxic", FIT_ROWS)
+    rows = rows.persist()
     kinds = {0: ("words", "word_scores"), 1: ("stems", "stem_scores")}
     model: dict = {"lambda": 1.0, "k": 1.0}
     scored = log_odds(rows.mapInArrow(_count, "token long, toxic long, other long, kind int")).where(f"abs(z) >= {LEAST_Z}")
@@ -185,7 +186,6 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
     if fitted.label.nunique() == 2:
         x, y = fitted[["a", "b", "c", "d"]].to_numpy(), fitted.label.to_numpy(np.float64)
         # the sample has both labels evenly; the labelled texts don't
-        share = labels.where("toxic in (0, 1)").agg(F.avg("toxic")).first()[0]
         weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
         model["weights"] = logistic(x, y, weight)
     rows.unpersist()
