@@ -12,13 +12,23 @@ suffix matter here, and only whether its bucket holds a smaller document, so:
    position reaches (80 bytes): members of one refined bucket share all their
    windows, so that all but the smallest document lose them whole.
 3. Only the smallest document of each refined bucket goes on, if its q-gram bucket
-   split. Its 35-byte buckets at offsets -15 and 0 are refined next: a window needs a
-   partner in one of the two. What has one is refined to full depth: 50-byte
-   buckets with the smallest document of each.
-
-Each refinement reuses the buckets before it: only members of buckets that are not
-settled are shuffled again. Buckets travel as blocks of sorted numbers, keyed by a
-range of hashes; smallest documents are partial aggregates.
+   split. A window holds the 15 bytes before its position, or the 15 bytes after its
+   q-gram (both at once in one case): so the 35-byte buckets on the left and on the
+   right are refined, each to the 50-byte buckets of its windows.
+
+Why this ends at depth 50: two equal 50-byte windows choose the same position, so
+they meet in one q-gram bucket. Either they lie in one refined bucket (2), or the
+smallest documents of their refined buckets stand for them in (3), where the equal
+window lies in one 35-byte bucket and then in one 50-byte bucket. A document that is
+not the smallest of its refined bucket has lost all windows around the position in (2).
+
+Buckets are told apart by hashes: 80 bytes by 64 bits beside 32 of their q-gram,
+50 bytes by 64 bits beside 64 of their 35-byte bucket.
+
+Skew: within a batch only the smallest document of a refined bucket travels, the
+others are settled on the spot. q-grams that a sample shows to be common are dealt
+out by their refined bucket. A 35-byte bucket of more than MOST members is dealt out
+by window instead of being held in one task. No case is left out by any of these.
 """
 
 from __future__ import annotations
@@ -28,18 +38,31 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, chunks, cut, dealt_anew, documents, mix, partitions, range_hash, running_hash, text_bytes
+from .common import arrow_batches, chunks, cut, dealt_anew, documents, forget, mix, partitions, range_hash, running_hash, text_bytes
 
 #: Bytes of a passage, of an initial bucket, and q-grams in a passage.
 LENGTH, Q = 50, 20
 WINDOW = LENGTH - Q + 1
-HALF = LENGTH - WINDOW // 2  # 35
+#: Bytes before and after the q-gram in the 35-byte buckets.
+SIDE = (LENGTH - Q) // 2
 _POSITION = np.uint64((1 << 24) - 1)
-#: Windows of a text that are ranked at once; with one window more, their positions fit into _POSITION.
-SEGMENT = 1 << 22
+#: Windows of a long text that are looked at together; with what they reach, their positions fit into _POSITION.
+SEGMENT = 1 << 20
+#: Text bytes of which a map task sends blocks, and of which a range holds the positions.
+BATCH_BYTES, RANGE_BYTES = 4 << 20, 64 << 20
+#: Documents of the sample that finds common q-grams, documents of it that make one common, and how many are kept.
+SAMPLE, COMMON, MOST_COMMON = 4000, 8, 50_000
+#: Members of 35-byte buckets that a task looks at together, and beyond which a bucket is dealt out by window.
+TOGETHER, MOST = 50_000, 50_000
+
+NORMAL, SETTLED, SPREAD = 0, 1, 2  # kinds of blocks
+COVERED, OPEN, MASKS = 1, 2, 3  # what a document's places are
+
+
+# --- positions ---------------------------------------------------------------
 
 
 def _smallest(hashes: np.ndarray) -> np.ndarray:
@@ -53,229 +76,328 @@ def _smallest(hashes: np.ndarray) -> np.ndarray:
     return (best & _POSITION).astype(np.int64)
 
 
-class Anchors:
-    """The chosen positions of a batch of texts: at (byte in the batch), text, bucket, and the reach [low, high) of their windows."""
-
-    def __init__(self, data: np.ndarray, at: np.ndarray):
-        self.data, self.offsets = data, at
-        self.running = running_hash(data)
-        empty = np.zeros(0, np.int64)
-        self.at, self.text, self.bucket, self.low, self.high = empty, empty, np.zeros(0, np.uint64), empty, empty
-        if len(data) < LENGTH:
-            return
-        grams = np.arange(len(data) - Q + 1)
-        hashes = range_hash(self.running, grams, grams + Q)
-        sizes = np.diff(at)
-        inside = np.zeros(len(data) + 1, np.int8)
-        long = sizes >= LENGTH
-        inside[at[:-1][long]] += 1
-        inside[at[1:][long] - LENGTH + 1] -= 1
-        windows = np.cumsum(inside[: len(data) - LENGTH + 1], dtype=np.int8)
-        # in segments whose windows overlap: a position in a segment fits into _POSITION, whatever the text's length
-        chosen = np.concatenate([s + _smallest(hashes[s : s + SEGMENT + WINDOW - 1])[np.flatnonzero(windows[s : s + SEGMENT])] for s in range(0, len(windows), SEGMENT)])
-        if not len(chosen):
-            return
-        self.at = chosen[np.concatenate([[True], chosen[1:] != chosen[:-1]])]
-        self.text = np.searchsorted(at, self.at, side="right") - 1
-        self.bucket = hashes[self.at]
-        self.low = np.maximum(self.at - (WINDOW - 1), at[self.text])
-        self.high = np.minimum(self.at + LENGTH, at[self.text + 1])
-
-    def refined(self) -> np.ndarray:
-        """A 32-bit hash of all bytes in reach, and of where the position lies in them."""
-        whole = range_hash(self.running, self.low, self.high)
-        return (mix(whole ^ (self.at - self.low).astype(np.uint64)) >> np.uint64(32)).astype(np.uint32)
-
-
-def _big_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    return chunks(batches, limit=8 << 20)
-
-
-def _initial(ranges: int):
-    """Blocks of (bucket, refined bucket, document), one for each range of buckets and batch."""
+def _chosen(data: np.ndarray, at: np.ndarray, begin: int = 0, end: int | None = None) -> tuple[np.ndarray, ...]:
+    """Byte in data, text, bucket and refined bucket of the positions that the windows of texts choose (of those that start in [begin, end))."""
+    windows = np.zeros(len(data) + 1, np.int8)
+    long = np.diff(at) >= LENGTH
+    windows[at[:-1][long]] += 1
+    windows[at[1:][long] - LENGTH + 1] -= 1
+    windows = np.flatnonzero(np.cumsum(windows, dtype=np.int8))
+    windows = windows[(windows >= begin) & (windows < (len(data) if end is None else end))]
+    if not len(windows):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    running = running_hash(data)
+    grams = np.arange(len(data) - Q + 1)
+    hashes = range_hash(running, grams, grams + Q)
+    own = _smallest(hashes)[windows]
+    own = own[np.concatenate([[True], own[1:] != own[:-1]])]
+    text = np.searchsorted(at, own, side="right") - 1
+    low, high = np.maximum(own - (WINDOW - 1), at[text]), np.minimum(own + LENGTH, at[text + 1])
+    return own, text, hashes[own], mix(range_hash(running, low, high) ^ (own - low).astype(np.uint64))
+
+
+def positions(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Place in its text, text, bucket and refined bucket of each chosen position; a single long text is taken in segments."""
+    if len(data) <= 2 * SEGMENT:
+        own, text, bucket, refined = _chosen(data, at)
+        return own - at[text], text, bucket, refined
+    found = []
+    for x, y in zip(at[:-1].tolist(), at[1:].tolist()):
+        for s in range(x, max(x, y - LENGTH + 1), SEGMENT):
+            low, high = max(x, s - WINDOW + 1), min(y, s + SEGMENT + WINDOW + LENGTH)
+            own, _, bucket, refined = _chosen(data[low:high], np.array([0, high - low]), s - low, s - low + SEGMENT)
+            i = int(np.searchsorted(at, x, side="right")) - 1
+            found.append((own + low - x, np.full(len(own), i), bucket, refined))
+    own, text, bucket, refined = (np.concatenate(c) for c in zip(*found)) if found else _chosen(data[:0], np.zeros(1, np.int64))
+    new = np.ones(len(own), bool)
+    new[1:] = (own[1:] != own[:-1]) | (text[1:] != text[:-1])  # neighbouring segments may choose the same
+    return own[new], text[new], bucket[new], refined[new]
+
+
+# --- initial buckets and their refinement ------------------------------------
+
+
+def _common(texts: DataFrame, rows: int) -> np.ndarray:
+    """Hashes of the q-grams that many documents of a small sample have: those are dealt out. Bounded by MOST_COMMON."""
+    few = texts.where(F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, SAMPLE / max(1, rows))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _big_chunks(batches):
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            done, buckets, finer, docs = 0, [], [], []
+        for batch in chunks(batches):
+            _, text, bucket, _ = positions(*text_bytes(batch.column("text")))
+            order = np.lexsort((text, bucket))
+            text, bucket = text[order], bucket[order]
+            new = np.ones(len(text), bool)
+            new[1:] = (text[1:] != text[:-1]) | (bucket[1:] != bucket[:-1])
+            own, n = np.unique(bucket[new], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(n)], ["bucket", "n"])
+
+    counted = few.mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).where(f"n >= {COMMON}")
+    rows = counted.orderBy(F.desc("n"), "bucket").limit(MOST_COMMON).select("bucket").collect()
+    return np.sort(np.array([r[0] for r in rows], np.int64).view(np.uint64))
+
+
+def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    if not len(known):
+        return np.zeros(len(values), bool)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+
+
+_BLOCK = "range int, kind int, bucket binary, refined binary, place binary, many binary, docs binary, prints binary"
+
+
+def _initial(ranges: int, common):
+    """Blocks of positions, one for each range and batch: buckets, refined buckets, places, and how many each document has."""
+
+    def blocks(kind: int, own: np.ndarray, bucket: np.ndarray, refined: np.ndarray, place: np.ndarray, row: np.ndarray, ids: np.ndarray, prints: np.ndarray) -> Iterator[tuple]:
+        order = np.lexsort((row, own))
+        own, row, place = own[order], row[order], place[order]
+        bucket, refined = (x[order] if len(x) else x for x in (bucket, refined))
+        cuts = np.searchsorted(own, np.arange(ranges + 1))
+        for i in np.flatnonzero(np.diff(cuts)).tolist():
+            s = slice(cuts[i], cuts[i + 1])
+            here = np.flatnonzero(np.concatenate([[True], row[s][1:] != row[s][:-1]]))
+            docs = row[s][here]
+            many = np.diff(np.append(here, cuts[i + 1] - cuts[i]))
+            yield i, kind, bucket[s].tobytes(), refined[s].tobytes(), place[s].tobytes(), many.astype(np.uint32).tobytes(), ids[docs].tobytes(), prints[docs].tobytes()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, limit=BATCH_BYTES):
+            ids, prints = batch.column("doc_id").to_numpy(), batch.column("print").to_numpy()
+            by_id = np.lexsort((prints, ids))
+            rank = np.empty(len(ids), np.int64)
+            rank[by_id] = np.arange(len(ids))  # rows in the order of their ids
+            again = np.zeros(len(ids), bool)
+            again[by_id[1:]] = (ids[by_id[1:]] == ids[by_id[:-1]]) & (prints[by_id[1:]] == prints[by_id[:-1]])
+            done, found = 0, []
             for part in chunks(iter([batch])):
-                a = Anchors(*text_bytes(part.column("text")))
-                buckets.append(a.bucket)
-                finer.append(a.refined())
-                docs.append(ids[done + a.text])
+                place, text, bucket, refined = positions(*text_bytes(part.column("text")))
+                keep = ~again[done + text]  # the same row once more has the same places
+                found.append((place[keep].astype(np.uint32), rank[done + text[keep]], bucket[keep], refined[keep]))
                 done += part.num_rows
-            bucket, refined, doc = np.concatenate(buckets), np.concatenate(finer), np.concatenate(docs)
-            own = bucket % np.uint64(ranges)
-            order = np.argsort(own, kind="stable")
-            own, bucket, refined, doc = own[order], (bucket[order] // np.uint64(ranges)).astype(np.uint32), refined[order], doc[order]
-            names, doc = np.unique(doc, return_inverse=True)
-            cuts = np.searchsorted(own, np.arange(ranges + 1, dtype=np.uint64))
-            full = [i for i in range(ranges) if cuts[i] < cuts[i + 1]]
-            wide = np.uint16 if len(names) < 65536 else np.uint32
-            out: list[list] = [[], [], [], [], []]
-            for i in full:
-                s = slice(cuts[i], cuts[i + 1])
-                here, index = np.unique(doc[s], return_inverse=True)
-                steps = np.diff(names[here], prepend=0)
-                for column, value in zip(out, (i, bucket[s].tobytes(), refined[s].tobytes(), index.astype(wide).tobytes(), steps.astype(np.int64).tobytes())):
-                    column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(x, pa.binary()) for x in out[1:])], ["range", "bucket", "refined", "doc", "ids"])
+            place, row, bucket, refined = (np.concatenate(x) for x in zip(*found))
+            ids, prints = ids[by_id], prints[by_id]
+            order = np.argsort(refined, kind="stable")
+            new = np.ones(len(order), bool)
+            new[1:] = refined[order[1:]] != refined[order[:-1]]
+            starts = np.flatnonzero(new)
+            smallest = np.empty(len(order), np.int64)
+            if len(starts):
+                smallest[order] = ids[np.minimum.reduceat(row[order], starts)][np.cumsum(new) - 1]
+            later = ids[row] > smallest  # an earlier document of this batch has it all
+            spread = ~later & _among(bucket, common.value)
+            normal = ~later & ~spread
+            n = np.uint64(ranges)
+            rows = [
+                *blocks(NORMAL, (bucket[normal] % n).astype(np.int64), (bucket[normal] // n).astype(np.uint32), refined[normal], place[normal], row[normal], ids, prints),
+                *blocks(SETTLED, (mix(ids[row[later]].astype(np.uint64)) % n).astype(np.int64), bucket[:0], refined[:0], place[later], row[later], ids, prints),
+                *blocks(SPREAD, (refined[spread] % n).astype(np.int64), bucket[:0], refined[spread], place[spread], row[spread], ids, prints),
+            ]
+            if rows:
+                kinds = [pa.int32()] * 2 + [pa.binary()] * 6
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], [c.split()[0] for c in _BLOCK.split(", ")])
 
     return run
 
 
-_ENTRY = np.dtype([("bucket", "<u4"), ("refined", "<u4")])
+def _by_document(flag: int, ids: np.ndarray, prints: np.ndarray, *values: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, print, flag, places): the values of each document side by side."""
+    order = np.lexsort((prints, ids))
+    ids, prints = ids[order], prints[order]
+    packed = np.column_stack([v[order].astype(np.uint32) for v in values])
+    new = np.ones(len(ids), bool)
+    new[1:] = (ids[1:] != ids[:-1]) | (prints[1:] != prints[:-1])
+    at = np.flatnonzero(new)
+    ends = np.append(at[1:], len(ids))
+    for s in range(0, len(at), 20_000):
+        a, b = at[s : s + 20_000], ends[s : s + 20_000]
+        yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(prints[a]), pa.array(np.full(len(a), flag, np.int32)), pa.array([packed[x:y].tobytes() for x, y in zip(a.tolist(), b.tolist())], pa.binary())], ["doc_id", "print", "flag", "places"])
+
+
+def _groups(*keys: np.ndarray) -> np.ndarray:
+    """Where ordered rows begin another group."""
+    new = np.ones(len(keys[0]), bool)
+    if len(new):
+        new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return new
 
 
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For the buckets with two documents: which members a smaller document of the refined bucket covers, and which go on."""
-    held: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
+    """For the buckets with two documents: which places a smaller document of the refined bucket covers, and which go on."""
+    held: dict[tuple, list[tuple]] = {}
     for batch in batches:
-        for r, bucket, refined, doc, ids in zip(*(batch.column(c).to_pylist() for c in ("range", "bucket", "refined", "doc", "ids"))):
-            names = np.cumsum(np.frombuffer(ids, np.int64))
-            bucket = np.frombuffer(bucket, np.uint32)
-            doc = names[np.frombuffer(doc, np.uint16 if len(doc) == 2 * len(bucket) else np.uint32)]
-            held.setdefault(r, []).append((bucket, np.frombuffer(refined, np.uint32), doc))
-    for r in list(held):
-        bucket, refined, doc = (np.concatenate(x) for x in zip(*held.pop(r)))
-        key = (bucket.astype(np.uint64) << np.uint64(32)) | refined
-        # singletons by far: drop them before the full sort
-        by_bucket = np.argsort(bucket, kind="stable")
-        b = bucket[by_bucket]
-        new = np.concatenate([[True], b[1:] != b[:-1]])
-        low = np.minimum.reduceat(doc[by_bucket], np.flatnonzero(new)) if len(b) else doc
-        high = np.maximum.reduceat(doc[by_bucket], np.flatnonzero(new)) if len(b) else doc
-        keep = by_bucket[(low < high)[np.cumsum(new) - 1]]
-        if not len(keep):
-            continue
-        key, doc = key[keep], doc[keep]
-        order = np.lexsort((doc, key))
-        key, doc = key[order], doc[order]
-        first = np.concatenate([[True], key[1:] != key[:-1]])
-        smallest = doc[first][np.cumsum(first) - 1]
-        covered = doc > smallest
-        bucket = key >> np.uint64(32)
+        for r, kind, bucket, refined, place, many, docs, prints in zip(*(batch.column(c).to_pylist() for c in batch.schema.names)):
+            many = np.frombuffer(many, np.uint32)
+            rows = (np.frombuffer(place, np.uint32), np.repeat(np.frombuffer(docs, np.int64), many), np.repeat(np.frombuffer(prints, np.int32), many))
+            if kind == SETTLED:
+                yield from _by_document(COVERED, rows[1], rows[2], rows[0])
+            else:
+                held.setdefault((r, kind), []).append((np.frombuffer(bucket, np.uint32), np.frombuffer(refined, np.uint64), *rows))
+    for own in list(held):
+        bucket, refined, place, doc, prints = (np.concatenate(x) for x in zip(*held.pop(own)))
+        if own[1] == NORMAL:
+            # buckets of one document by far: drop them before the full sort
+            order = np.argsort(bucket, kind="stable")
+            new = _groups(bucket[order])
+            starts = np.flatnonzero(new)
+            low, high = (f.reduceat(doc[order], starts) for f in (np.minimum, np.maximum))
+            keep = order[(low < high)[np.cumsum(new) - 1]]
+            bucket, refined, place, doc, prints = (x[keep] for x in (bucket, refined, place, doc, prints))
+            if not len(keep):
+                continue
+        else:
+            bucket = np.zeros(len(refined), np.uint32)
+        order = np.lexsort((doc, refined, bucket))
+        bucket, refined, place, doc, prints = (x[order] for x in (bucket, refined, place, doc, prints))
+        first = _groups(bucket, refined)
+        covered = doc > doc[first][np.cumsum(first) - 1]
         # a refined bucket's smallest document goes on if its q-gram bucket has another refined bucket
-        edge = np.concatenate([[True], bucket[1:] != bucket[:-1]])
+        edge = _groups(bucket)
         kinds = np.add.reduceat(first.astype(np.int64), np.flatnonzero(edge))
-        goes_on = first & (kinds > 1)[np.cumsum(edge) - 1]
-        for flag, chosen in ((1, covered), (2, goes_on)):
-            if not chosen.any():
-                continue
-            d, k = doc[chosen], key[chosen]
-            by = np.argsort(d, kind="stable")
-            d, k = d[by], k[by]
-            at = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]]))
-            values = [k[s:e].tobytes() for s, e in zip(at, np.append(at[1:], len(d)))]
-            for s in range(0, len(at), 20_000):
-                e = min(len(at), s + 20_000)
-                yield pa.RecordBatch.from_arrays([pa.array(d[at[s:e]]), pa.array(np.full(e - s, r, np.int32)), pa.array(np.full(e - s, flag, np.int32)), pa.array(values[s:e], pa.binary())], ["doc_id", "range", "flag", "entries"])
-
-
-def _flagged(anchors: Anchors, entries: list, ranges: int) -> np.ndarray:
-    """For each chosen position the flag that its document has for its buckets (0: none)."""
-    out = np.zeros(len(anchors.at), np.int8)
-    wanted = [i for i, x in enumerate(entries) if x]
-    if not wanted or not len(out):
-        return out
-    own = anchors.bucket % np.uint64(ranges)
-    key = ((anchors.bucket // np.uint64(ranges)).astype(np.uint32).astype(np.uint64) << np.uint64(32)) | anchors.refined()
-    key = mix(key + mix(own))
-    begin = np.searchsorted(anchors.text, np.arange(len(entries) + 1))
-    for i in wanted:
-        mine = key[begin[i] : begin[i + 1]]
-        for flag in (2, 1):
-            known = [mix(np.frombuffer(e["entries"], np.uint64) + mix(np.array([e["range"]], np.uint64))) for e in entries[i] if e["flag"] == flag]
-            if known:
-                out[begin[i] : begin[i + 1]][np.isin(mine, np.concatenate(known))] = flag
-    return out
-
-
-def _contexts(ranges: int):
-    """The bytes in reach of the positions that go on, with their 35-byte buckets."""
+        goes_on = ~covered & ((kinds > 1)[np.cumsum(edge) - 1] | (own[1] == SPREAD))
+        for flag, which in ((COVERED, covered), (OPEN, goes_on)):
+            if which.any():
+                yield from _by_document(flag, doc[which], prints[which], place[which])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches):
-            a = Anchors(*text_bytes(batch.column("text")))
-            go = np.flatnonzero(_flagged(a, batch.column("entries").to_pylist(), ranges) == 2)
-            if not len(go):
-                continue
-            at, low, high = a.at[go], a.low[go], a.high[go]
-            left = np.where(at - 15 >= low, range_hash(a.running, np.maximum(at - 15, 0), at + Q), mix(at.astype(np.uint64))).view(np.int64)
-            right = np.where(at + HALF <= high, range_hash(a.running, at, np.minimum(at + HALF, len(a.data))), mix(~at.astype(np.uint64))).view(np.int64)
-            raw = a.data.tobytes()
-            text = a.text[go]
-            yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id").take(pa.array(text)), pa.array(at - a.offsets[text]), pa.array(at - low),
-                pa.array([raw[x:y] for x, y in zip(low.tolist(), high.tolist())], pa.binary()), pa.array(left), pa.array(right), pa.array(at - 15 >= low), pa.array(at + HALF <= high),
-            ], ["doc", "at", "before", "bytes", "left", "right", "has_left", "has_right"])
 
-    return run
+_PLACES = "doc_id long, print int, flag int, places binary"
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The 50-byte buckets of every window that has a partner for its 35 bytes on the left or on the right."""
-    for batch in chunks(batches, "bytes", 1 << 19):
-        data, offsets = text_bytes(batch.column("bytes"))
-        running = running_hash(data)
-        size, before = np.diff(offsets), batch.column("before").to_numpy()
-        lefts, rights = (batch.column(c).to_numpy(zero_copy_only=False).astype(bool) for c in ("on_left", "on_right"))
-        # windows start at 0..size-50 in the context; from 15 bytes before the position on, they hold the left 35
-        last = size - LENGTH
-        middle = before - 15
-        begin = np.where(lefts, 0, np.maximum(middle + 1, 0))
-        end = np.where(rights, last, np.minimum(middle, last))
-        many = np.maximum(end - begin + 1, 0)
-        row = np.repeat(np.arange(len(many)), many)
-        start = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many) + begin[row]
-        if len(row):
-            key = range_hash(running, offsets[row] + start, offsets[row] + start + LENGTH).view(np.int64)
-            doc, at = batch.column("doc").to_numpy()[row], batch.column("at").to_numpy()[row]
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(doc), pa.array(at - before[row] + start)], ["key", "doc", "start"])
-
-
-def _spans(ranges: int, a: Anchors, entries: list, starts: list) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Each text's first and last byte in the batch and its maximal covered runs, as offsets in the text."""
-    covered = np.flatnonzero(_flagged(a, entries, ranges) == 1)
-    begin = np.searchsorted(a.text[covered], np.arange(len(entries) + 1))
-    for i in range(len(entries)):
-        x, y = int(a.offsets[i]), int(a.offsets[i + 1])
-        own = covered[begin[i] : begin[i + 1]]
-        more = np.array(starts[i] or [], np.int64)
-        low, high = np.concatenate([a.low[own] - x, more]), np.concatenate([a.high[own] - x, more + LENGTH])
-        if not len(low):
-            yield x, y, low, high
-            continue
-        order = np.argsort(low, kind="stable")
-        low, high = low[order], np.maximum.accumulate(high[order])
-        new = np.concatenate([[True], low[1:] > high[:-1]])
-        yield x, y, low[new], np.append(high[:-1][new[1:]], high[-1])
-
+# --- refinement to full depth ------------------------------------------------
 
-def _digest(ranges: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches):
-            data, at = text_bytes(batch.column("text"))
-            out: list[list] = [[], [], [], []]
-            for x, y, low, high in _spans(ranges, Anchors(data, at), batch.column("entries").to_pylist(), batch.column("starts").to_pylist()):
-                sha = hashlib.sha256()
-                for s, e in zip([0, *high.tolist()], [*low.tolist(), y - x]):
-                    sha.update(data[x + s : x + e])
-                for column, value in zip(out, (y - x, int((high - low).sum()), len(low), sha.hexdigest())):
-                    column.append(value)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string())))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return run
+def _sides(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The open positions' bytes on the left and on the right, with their 35-byte buckets; start is where the bytes begin in the text."""
+    for batch in chunks(batches):
+        data, at = text_bytes(batch.column("text"))
+        own = [np.unique(np.frombuffer(b"".join(x), np.uint32)).astype(np.int64) for x in batch.column("places").to_pylist()]
+        text = np.repeat(np.arange(len(own)), [len(x) for x in own])
+        if not len(text):
+            continue
+        here = np.concatenate(own) + at[text]
+        running = running_hash(data)
+        low, high = np.maximum(here - (WINDOW - 1), at[text]), np.minimum(here + LENGTH, at[text + 1])
+        raw = data.tobytes()
+        for salt, begin, end, core, close in (
+            (0, low, np.minimum(here + Q + SIDE, high), here - SIDE, here + Q),  # windows from low to here - SIDE
+            (1, np.maximum(here - SIDE + 1, low), high, here, here + Q + SIDE),  # windows from here - SIDE + 1 on
+        ):
+            full = np.flatnonzero((core >= begin) & (close <= end) & (end - begin >= LENGTH))
+            if not len(full):
+                continue
+            key = mix(range_hash(running, core[full], close[full]) + np.uint64(salt)).view(np.int64)
+            pieces = [raw[x:y] for x, y in zip(begin[full].tolist(), end[full].tolist())]
+            own_text = pa.array(text[full])
+            yield pa.RecordBatch.from_arrays([pa.array(key), batch.column("doc_id").take(own_text), batch.column("print").take(own_text), pa.array(begin[full] - at[text[full]]), pa.array(pieces, pa.binary())], ["key", "doc_id", "print", "start", "bytes"])
+
+
+def _windows(key: np.ndarray, column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, place in its bytes and bucket of every 50-byte window."""
+    data, at = text_bytes(column)
+    many = np.maximum(np.diff(at) - LENGTH + 1, 0)
+    row = np.repeat(np.arange(len(many)), many)
+    inner = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+    begin = at[row] + inner
+    return row, inner, mix(range_hash(running_hash(data), begin, begin + LENGTH) ^ mix(key.view(np.uint64))[row])
+
+
+def _refine(table: pa.Table) -> pa.Table:
+    """Masks of the covered windows of members of whole 35-byte buckets."""
+    key, doc = table.column("key").to_numpy(), table.column("doc_id").to_numpy()
+    order = np.argsort(key, kind="stable")
+    new = _groups(key[order])
+    starts = np.flatnonzero(new)
+    low, high = (f.reduceat(doc[order], starts) for f in (np.minimum, np.maximum))
+    kept = order[(low < high)[np.cumsum(new) - 1]]
+    out = pa.schema([("doc_id", pa.int64()), ("print", pa.int32()), ("flag", pa.int32()), ("places", pa.binary())])
+    if not len(kept):
+        return out.empty_table()
+    few = table.take(pa.array(kept)).combine_chunks()
+    doc, prints, start = (few.column(c).to_numpy() for c in ("doc_id", "print", "start"))
+    row, inner, bucket = _windows(few.column("key").to_numpy(), few.column("bytes").chunk(0))
+    order = np.argsort(bucket, kind="stable")
+    new = _groups(bucket[order])
+    smallest = np.empty(len(row), np.int64)
+    smallest[order] = np.minimum.reduceat(doc[row[order]], np.flatnonzero(new))[np.cumsum(new) - 1]
+    covered = doc[row] > smallest
+    mask = np.bincount(row[covered], weights=np.exp2(inner[covered]), minlength=len(doc)).astype(np.int64)  # 16 windows at most
+    some = np.flatnonzero(mask)
+    return pa.Table.from_batches(_by_document(MASKS, doc[some], prints[some], start[some], mask[some]), out) if len(some) else out.empty_table()
+
+
+def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in chunks(batches, "bytes", 1 << 19):
+        row, inner, bucket = _windows(batch.column("key").to_numpy(), batch.column("bytes"))
+        at = batch.column("start").to_numpy()[row] + inner
+        yield pa.RecordBatch.from_arrays([pa.array(bucket.view(np.int64)), batch.column("doc_id").take(pa.array(row)), batch.column("print").take(pa.array(row)), pa.array(at)], ["bucket", "doc_id", "print", "start"])
 
 
-def _without(ranges: int, names: list[str]):
+def _single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            start = batch.column("start").to_numpy()
+            yield from _by_document(MASKS, batch.column("doc_id").to_numpy(), batch.column("print").to_numpy(), start, np.ones(len(start)))
+
+
+def _refined(sides: DataFrame) -> DataFrame:
+    """The covered windows in 35-byte buckets, as places of documents."""
+    keys = sides.groupBy("key").agg(F.count("*").alias("n"))
+    large = dealt_anew(keys.where(f"n > {MOST}").select("key"), "key")
+    small = sides.join(large, "key", "left_anti")
+    bins = max(1, -(-sides.count() // TOGETHER))
+    masks = small.groupBy(F.pmod("key", F.lit(bins)).alias("bin")).applyInArrow(_refine, _PLACES)
+    windows = sides.join(large, "key").mapInArrow(_dealt, "bucket long, doc_id long, print int, start long")
+    smallest = windows.groupBy("bucket").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("bucket", "low")
+    later = windows.join(dealt_anew(smallest, "bucket"), "bucket").where("doc_id > low").select("doc_id", "print", "start")
+    return masks.unionByName(later.mapInArrow(_single, _PLACES))
+
+
+# --- results -----------------------------------------------------------------
+
+
+def _spans(size: int, found: list | None) -> tuple[np.ndarray, np.ndarray]:
+    """A text's maximal covered runs."""
+    low, high = [], []
+    for e in found or []:
+        values = np.frombuffer(e["places"], np.uint32).astype(np.int64)
+        if e["flag"] == COVERED:
+            low.append(np.maximum(values - (WINDOW - 1), 0))
+            high.append(np.minimum(values + LENGTH, size))
+        else:
+            row, bit = np.nonzero(values[1::2, None] >> np.arange(WINDOW) & 1)
+            low.append(values[::2][row] + bit)
+            high.append(low[-1] + LENGTH)
+    if not low:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    low, high = np.concatenate(low), np.concatenate(high)
+    order = np.argsort(low, kind="stable")
+    low, high = low[order], np.maximum.accumulate(high[order])
+    new = np.concatenate([[True], low[1:] > high[:-1]])
+    return low[new], np.append(high[:-1][new[1:]], high[-1])
+
+
+def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in chunks(batches):
+        data, at = text_bytes(batch.column("text"))
+        out: list[list] = [[], [], [], []]
+        for x, y, found in zip(at[:-1].tolist(), at[1:].tolist(), batch.column("found").to_pylist()):
+            low, high = _spans(y - x, found)
+            sha = hashlib.sha256()
+            for s, e in zip([0, *high.tolist()], [*low.tolist(), y - x]):
+                sha.update(data[x + s : x + e])
+            for column, value in zip(out, (y - x, int((high - low).sum()), len(low), sha.hexdigest())):
+                column.append(value)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string())))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+
+
+def _without(names: list[str]):
     """The texts without their covered runs, each run shrunk to whole characters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
             data, at = text_bytes(batch.column("text"))
             texts = batch.column("text").to_pylist()
-            for i, (x, y, low, high) in enumerate(_spans(ranges, Anchors(data, at), batch.column("entries").to_pylist(), batch.column("starts").to_pylist())):
+            for i, (x, y, found) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), batch.column("_found").to_pylist())):
+                low, high = _spans(y - x, found)
                 if not len(low):
                     continue
                 raw = data[x:y]
@@ -290,31 +412,32 @@ def _without(ranges: int, names: list[str]):
                     done = e
                 texts[i] = (b"".join(parts) + raw[done:].tobytes()).decode()
             columns = {"text": pa.array(texts, pa.string()), "n_chars": pa.array([None if t is None else len(t) for t in texts], pa.int64())}
-            yield pa.RecordBatch.from_arrays([columns.get(c, batch.column(c)) if c in batch.schema.names else columns[c] for c in names], names)
+            yield pa.RecordBatch.from_arrays([columns[c] if c in columns else batch.column(c) for c in names], names)
 
     return run
 
 
-def _found(docs: DataFrame) -> tuple[DataFrame, int]:
-    """docs with each document's settled buckets (entries) and the starts of its other covered windows."""
+#: What tells rows apart beside the id: rows that share an id may have other texts.
+def _print() -> Column:
+    return F.hash("text")
+
+
+def _found(docs: DataFrame) -> DataFrame:
+    """(doc_id, print, found): what each document loses, for the documents that lose anything."""
     spark = docs.sparkSession
     arrow_batches(spark)
-    ranges = partitions(spark)
-    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    blocks = texts.where(f"octet_length(text) >= {LENGTH}").mapInArrow(_initial(ranges), "range int, bucket binary, refined binary, doc binary, ids binary")
-    settled = blocks.repartition(ranges, "range").mapInArrow(_settle, "doc_id long, range int, flag int, entries binary")
-    entries = cut(settled.groupBy("doc_id").agg(F.collect_list(F.struct("range", "flag", "entries")).alias("entries")), "settled")
-
-    open_ones = entries.where("exists(entries, x -> x.flag = 2)").withColumn("entries", F.expr("filter(entries, x -> x.flag = 2)"))
-    contexts = cut(texts.join(open_ones, "doc_id").mapInArrow(_contexts(ranges), "doc long, at long, before long, bytes binary, left long, right long, has_left boolean, has_right boolean"), "contexts")
-    partner = {side: dealt_anew(contexts.where(f"has_{side}").groupBy(side).agg(F.min("doc").alias("l"), F.max("doc").alias("h")).where("l < h").select(side, F.lit(True).alias(f"on_{side}")), side) for side in ("left", "right")}
-    partly = contexts.join(partner["left"], "left", "left").join(partner["right"], "right", "left")
-    partly = partly.select("doc", "at", "before", "bytes", F.expr("has_left and on_left is not null").alias("on_left"), F.expr("has_right and on_right is not null").alias("on_right")).where("on_left or on_right")
-    windows = cut(partly.mapInArrow(_windows, "key long, doc long, start long"), "windows")
-    smallest = windows.groupBy("key").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("key", "low")
-    starts = windows.join(dealt_anew(smallest, "key"), "key").where("doc > low").groupBy(F.col("doc").alias("doc_id")).agg(F.array_distinct(F.collect_list("start")).alias("starts"))
-    covered = entries.withColumn("entries", F.expr("filter(entries, x -> x.flag = 1)")).where("size(entries) > 0")
-    return cut(covered.join(starts, "doc_id", "full_outer"), "covered"), ranges
+    texts = docs.where(f"doc_id is not null and octet_length(text) >= {LENGTH}").select(F.col("doc_id").cast("long").alias("doc_id"), "text", _print().alias("print"))
+    rows, size = texts.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    ranges = max(partitions(spark), -(-(size or 0) // RANGE_BYTES))
+    common = spark.sparkContext.broadcast(_common(texts, rows))
+    settled = cut(texts.mapInArrow(_initial(ranges, common), _BLOCK).repartition(ranges, "range").mapInArrow(_settle, _PLACES), "settled")
+    common.unpersist()
+    unsettled = settled.where(f"flag = {OPEN}").groupBy("doc_id", "print").agg(F.collect_list("places").alias("places"))
+    sides = cut(texts.join(unsettled, ["doc_id", "print"]).mapInArrow(_sides, "key long, doc_id long, print int, start long, bytes binary"), "sides")
+    places = settled.where(f"flag = {COVERED}").unionByName(_refined(sides))
+    found = cut(places.groupBy("doc_id", "print").agg(F.collect_list(F.struct("flag", "places")).alias("found")), "found")
+    forget(settled, sides)
+    return found
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
@@ -322,24 +445,25 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
 
     A byte is removed if a 50-byte string that covers it also starts in a document with a
     smaller doc_id, judged on the UTF-8 bytes of the input. Null texts are empty; texts
-    under 50 bytes lose nothing. Rows with a null doc_id lose nothing and are nobody's
-    earlier document; rows that share a doc_id are never each other's. An empty table
-    gives no rows; other columns are not read.
+    under 50 bytes lose nothing; a text of any length is taken whole, in segments. Rows with
+    a null doc_id lose nothing and are nobody's earlier document; rows that share a doc_id
+    are never each other's. An empty table gives no rows; other columns are not read.
     """
-    covered, ranges = _found(docs)
-    marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(covered, "doc_id", "left")
-    return marked.mapInArrow(_digest(ranges), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _print().alias("print")).join(_found(docs), ["doc_id", "print"], "left")
+    return marked.select("doc_id", "text", "found").mapInArrow(_digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """docs without the passages that repeated_passages finds: text is cut, at whole characters, and n_chars counted anew."""
-    covered, ranges = _found(docs)
+    """docs without the passages that repeated_passages finds: text is cut, at whole characters, and n_chars (if there) counted anew.
+
+    Rows are kept, even where no text is left; null texts stay null. Other columns of any
+    name stay as they are, but for names that begin with an underscore and `found` or `print`.
+    """
     held = docs.withColumn("text", F.col("text").cast("string"))
-    names = [c for c in held.columns]
-    extra = covered.withColumnRenamed("doc_id", "doc_id_covered")
-    marked = held.join(extra, held["doc_id"] == extra["doc_id_covered"], "left").drop("doc_id_covered")
+    extra = _found(docs).select(F.col("doc_id").alias("_id"), F.col("print").alias("_print"), F.col("found").alias("_found"))
+    marked = held.join(extra, (held["doc_id"] == extra["_id"]) & (F.hash(held["text"]) == extra["_print"]), "left").drop("_id", "_print")
     schema = ", ".join(f"`{c}` {'long' if c == 'n_chars' else t}" for c, t in held.dtypes)
-    return marked.mapInArrow(_without(ranges, names), schema)
+    return marked.mapInArrow(_without(held.columns), schema)
 
 
 def op10_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:

@@ -31,22 +31,23 @@ def test_quality_references_of_all_languages(spark):
     assert len(got) == 150 and max(r.word_distance for r in got) < 1e-6  # each is nearest to its own
 
 
-def test_anchors_beyond_16_mib():
+def test_positions_beyond_16_mib():
+    """A text of more than 16 MiB, in segments: its tail chooses what the tail alone does."""
     data = np.random.default_rng(3).integers(0, 256, (1 << 24) + 5000).astype(np.uint8)
     tail = 1 << 24
-    whole = suffix_dedup.Anchors(data, np.array([0, len(data)]))
-    alone = suffix_dedup.Anchors(data[tail:], np.array([0, len(data) - tail]))
-    inner = whole.at[whole.at >= tail + 100] - tail
-    assert len(inner) and inner.tolist() == alone.at[alone.at >= 100].tolist()
+    place, _, bucket, _ = suffix_dedup.positions(data, np.array([0, len(data)]))
+    alone, _, own, _ = suffix_dedup.positions(data[tail:], np.array([0, len(data) - tail]))
+    inner = place >= tail + 100
+    assert inner.sum() > 200 and (place[inner] - tail).tolist() == alone[alone >= 100].tolist() and bucket[inner].tolist() == own[alone >= 100].tolist()
 
 
-def test_anchors_of_segments(monkeypatch):
+def test_positions_of_segments(monkeypatch):
     data = np.frombuffer((b"abc" * 40 + bytes(range(97, 123)) * 9) * 20, np.uint8)
     at = np.array([0, 700, 730, len(data)])
-    want = suffix_dedup.Anchors(data, at)
+    want = suffix_dedup.positions(data, at)
     monkeypatch.setattr(suffix_dedup, "SEGMENT", 64)
-    got = suffix_dedup.Anchors(data, at)
-    assert got.at.tolist() == want.at.tolist() and got.bucket.tolist() == want.bucket.tolist()
+    for a, b in zip(want, suffix_dedup.positions(data, at)):
+        assert a.tolist() == b.tolist()
 
 
 def spoken(seed, letters, n=400):
