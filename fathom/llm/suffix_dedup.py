@@ -341,7 +341,7 @@ def _single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _refined(sides: DataFrame) -> DataFrame:
     """The covered windows in 35-byte buckets, as places of documents."""
     keys = sides.groupBy("key").agg(F.count("*").alias("n"))
-    large = dealt_anew(keys.where(f"n > {MOST}").select("key"), "key")
+    large = cut(keys.where(f"n > {MOST}").select("key"), "large")  # a table of its own: mostly so small that the joins broadcast it
     small = sides.join(large, "key", "left_anti")
     bins = max(1, -(-sides.count() // TOGETHER))
     masks = small.groupBy(F.pmod("key", F.lit(bins)).alias("bin")).applyInArrow(_refine, _PLACES)
