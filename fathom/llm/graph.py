@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, dealt_anew
+from .common import cut, dealt_anew, forget
 
 
 def components(links: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
@@ -28,7 +28,8 @@ def components(links: DataFrame, left: str = "a", right: str = "b") -> DataFrame
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(dealt_anew(lowest, "u"), "u")
         small = moved.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(lowest.select("u", F.col("m").alias("v"))).distinct()
-        edges = cut(small, "links")
+        edges, before = cut(small, "links"), edges
+        forget(before)
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == seen:
             return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).unionByName(

@@ -7,15 +7,18 @@ blocks, so far as size bounds leave cells to fill:
    corpus in a sketch of fixed size. The counts order the shingles, rare ones
    first, with the hash after that: an order over the whole corpus. Exact copies
    of a set fall into one class, by a 128-bit digest.
-2. In that order, two sets with Jaccard >= t share at least `matches` of their first
-   n - ceil(t n) + matches shingles. Only these columns of A are shuffled; the
-   products of these columns are summed for each pair, and pairs that have too few
-   matches or sizes too far apart are discarded.
+2. Two sets of sizes na and nb with Jaccard >= t share `need` = ceil(t (na + nb) / (1 + t))
+   shingles at least, so their first shared one has a place of na - need at most in one
+   and nb - need in the other. Only the columns of A up to place n - ceil(t n) are shuffled;
+   a cell is filled only if both places keep to the bound of the two sizes.
 3. What is left is multiplied in full: blocks of rows against one row's columns.
 
-A list of thousands of near copies isn't expanded into all pairs: each list first
-links its members to its smallest one; after these links are verified and joined
-into components, only pairs across components are left to look at.
+A column of thousands of near copies isn't expanded into all pairs. Its members meet
+its pivots first: in each band of sizes the member in which the column has the first
+place, that is, with the fewest shingles of its own. These links are verified and
+joined into components. Only cells between two components are left to look at: members
+meet more pivots in each round, until no column spans two components and has
+members that have not met.
 """
 
 from __future__ import annotations
@@ -25,16 +28,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, chunks, cut, dealt_anew, partitions, shingle_sets
+from .common import arrow_batches, chunks, cut, dealt_anew, forget, partitions, shingle_sets
 from .graph import components
 
 #: Counters of the sketch, and the blocks in which tasks pass them on. Its size doesn't grow with the data.
 SKETCH, BLOCKS = 1 << 21, 32
-#: Matching columns that a pair must show before its rows are multiplied in full.
-MATCHES = 3
+#: Pivots of a column and band of sizes in the first round, and how many times more each next round has.
+PIVOTS, MORE = 1, 16
 
 
 def _least(t: float, n: np.ndarray) -> np.ndarray:
@@ -99,15 +102,13 @@ def _prefixes(k: int, t: float, levels):
                 if doc_id is None or not len(s) or (digest := s.tobytes()) in seen:
                     continue  # a copy in the same batch: its class stands for it
                 seen.add(digest)
-                n = len(s)
-                least = int(_least(t, n))
-                if n - least + min(MATCHES, least) >= 1:
-                    keys.append(_ordered(s, order)[: n - least + min(MATCHES, least)])
-                    ids.append(doc_id)
-                    sizes.append(n)
+                keys.append(_ordered(s, order)[: len(s) - int(_least(t, len(s))) + 1])
+                ids.append(doc_id)
+                sizes.append(len(s))
             if keys:
-                many = [len(x) for x in keys]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(np.array(ids, np.int64), many)), pa.array(np.repeat(np.array(sizes, np.int32), many))], ["g", "doc", "n"])
+                many = np.array([len(x) for x in keys])
+                place = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(np.array(ids, np.int64), many)), pa.array(np.repeat(np.array(sizes, np.int32), many)), pa.array(place.astype(np.int32))], ["g", "doc", "n", "place"])
 
     return run
 
@@ -142,20 +143,42 @@ def _multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), batch.column("na"), batch.column("nb"), pa.array(overlap)], ["a", "b", "na", "nb", "overlap"])
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, permille: int) -> DataFrame:
+def _verified(docs: DataFrame, k: int, pairs: DataFrame, permille: int) -> DataFrame:
     """The pairs (a, b) that have Jaccard >= t, after their rows are multiplied in full."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    sets = cut(docs.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(k), "doc long, shingles binary"), "sets")
     right = pairs.join(sets.withColumnsRenamed({"doc": "b", "shingles": "rows_b"}), "b")
     both = right.join(sets.withColumnsRenamed({"doc": "a", "shingles": "row_a"}), "a")
     both = both.select("a", "b", (F.octet_length("row_a") / 8).cast("long").alias("na"), (F.octet_length("rows_b") / 8).cast("long").alias("nb"), "row_a", "rows_b")
     counted = both.mapInArrow(_multiply, "a long, b long, na long, nb long, overlap long")
-    return counted.where(f"1000 * overlap >= {permille} * (na + nb - overlap)").select("a", "b")
+    links = cut(counted.where(f"1000 * overlap >= {permille} * (na + nb - overlap)").select("a", "b"), "verified")
+    forget(sets)
+    return links
 
 
-def _enough(c: str, t: float):
-    """Discards a pair by its sizes, or by too few matches in its first columns."""
-    permille = round(t * 1000)
-    least = f"least({MATCHES}, ceil({permille} * na / 1000.0), ceil({permille} * nb / 1000.0))"
-    return f"{c} >= {least} and 1000 * least(na, nb) >= {permille} * greatest(na, nb)"
+def _fits(permille: int) -> str:
+    """Whether the first shared shingle may have places a.place and b.place in sets of a.n and b.n shingles."""
+    need = f"((1000 + {permille} - 1 + {permille} * cast(a.n + b.n as long)) div (1000 + {permille}))"
+    return f"a.n - a.place >= {need} and b.n - b.place >= {need}"
+
+
+def _still_open(lists: DataFrame, joined: DataFrame, met: int) -> DataFrame:
+    """The lists that hold two components, and members that were not among the `met` pivots of their band; with current components."""
+    named = lists.drop("component").join(joined.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    named = cut(named, "named")
+    spans = named.groupBy("g").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("m"))
+    out = cut(named.join(dealt_anew(spans.where(f"low < high and m > {met} + 1").select("g"), "g"), "g"), "lists")
+    forget(named, lists)
+    return out
+
+
+def _cells(lists: DataFrame, pivots: int, permille: int) -> DataFrame:
+    """Pairs a < b of two components whose places and sizes leave room for a link, one of each being among the pivots of its list and band of sizes."""
+    by = Window.partitionBy("g", "band").orderBy("place", "doc")
+    first = lists.withColumn("rank", F.row_number().over(by)).where(f"rank <= {pivots}")
+    first = first.select("g", F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)).alias("band"), "doc", "n", "place", "component")
+    cells = lists.alias("a").join(first.alias("b"), ["g", "band"]).where(f"a.doc <> b.doc and a.component <> b.component and {_fits(permille)}")
+    return cells.select(F.least("a.doc", "b.doc").alias("a"), F.greatest("a.doc", "b.doc").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8) -> DataFrame:
@@ -166,8 +189,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8) -> Data
     link when intersection / union >= threshold (counted in thousandths); component_id
     is the smallest doc_id that links reach. Null, empty and blank texts have no
     shingles, link with nothing and are their own component. Rows with a null doc_id
-    are kept with a null component_id. Rows that share a doc_id count as one node.
-    An empty table gives no rows; other columns are not read.
+    are kept with a null component_id. Rows that share a doc_id count as one node, which
+    has the links of each of their texts. An empty table gives no rows; other columns are
+    not read. Texts of any length are taken whole.
     """
     spark = docs.sparkSession
     arrow_batches(spark)
@@ -178,39 +202,33 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8) -> Data
     members = survey.where("block is null").select("doc_id", "n_shingles", "d1", "d2")
     levels = spark.sparkContext.broadcast(_sketch(survey.where("block is not null").select("block", "counts")))
 
-    classes = members.where("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    classes = dealt_anew(classes, "d1", "d2", "n_shingles")
-    stands = cut(members.where("n_shingles > 0 and doc_id is not null").join(classes, ["d1", "d2", "n_shingles"]).select(F.col("doc_id").alias("doc"), "rep").distinct(), "classes")
-
-    postings = cut(docs.mapInArrow(_prefixes(k, threshold, levels), "g long, doc long, n int"), "columns")
-    shared = postings.groupBy("g").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("g")
-    shared = dealt_anew(shared, "g")
-    lists = cut(postings.join(shared, "g").join(stands, "doc").select("g", F.col("rep").alias("doc"), "n").distinct(), "lists")
-
-    often = lists.groupBy("doc").agg(F.count("*").alias("c"), F.min("n").alias("n")).where(f"c >= least({MATCHES}, ceil({permille} * n / 1000.0))")
-    sets = cut(docs.join(often.select(F.col("doc").alias("doc_id")), "doc_id", "left_semi").mapInArrow(_sets(k), "doc long, shingles binary"), "sets")
-
-    # each list's smallest member against the others
-    lowest = lists.groupBy("g").agg(F.min(F.struct("doc", "n")).alias("low")).select("g", F.col("low.doc").alias("a"), F.col("low.n").alias("na"))
-    lowest = dealt_anew(lowest, "g")
-    stars = lists.join(lowest, "g").where("doc <> a").groupBy("a", F.col("doc").alias("b"), "na", F.col("n").alias("nb")).agg(F.count("*").alias("c"))
-    stars = cut(stars.where(_enough("c", threshold)).select("a", "b").distinct(), "stars")
-    links = cut(_verified(stars, sets, permille), "verified")
-    joined = cut(components(links), "joined")
-
-    # pairs of a list that are still in two components
-    named = lists.join(joined.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    open_lists = named.groupBy("g").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("g")
-    open_lists = dealt_anew(open_lists, "g")
-    rest = cut(named.join(open_lists, "g").join(often.select("doc"), "doc", "left_semi"), "rest")
-    one = rest.select("g", F.col("doc").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-    two = rest.select("g", F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    across = one.join(two, "g").where(f"a < b and ca <> cb and 1000 * least(na, nb) >= {permille} * greatest(na, nb)")
-    across = across.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c")).where(_enough("c", threshold)).select("a", "b").distinct()
-    more = _verified(across.join(stars, ["a", "b"], "left_anti"), sets, permille)
-
-    every = links.unionByName(more).unionByName(stands.where("doc <> rep").select(F.col("rep").alias("a"), F.col("doc").alias("b")))
-    named = components(every).withColumnsRenamed({"node": "doc_id", "component": "component_id"})
+    full = members.where("n_shingles > 0 and doc_id is not null")
+    classes = dealt_anew(full.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep")), "d1", "d2", "n_shingles")
+    stands = cut(full.join(classes, ["d1", "d2", "n_shingles"]).select(F.col("doc_id").alias("doc"), "n_shingles", "rep").distinct(), "classes")
+
+    postings = cut(docs.mapInArrow(_prefixes(k, threshold, levels), "g long, doc long, n int, place int"), "columns")
+    levels.unpersist()
+    shared = cut(postings.groupBy("g").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("g"), "shared")
+    several = postings.join(shared, "g").join(stands.withColumnRenamed("n_shingles", "n"), ["doc", "n"])
+    # bands of sizes such that sets that may link lie in the same or in neighbouring bands
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1 / threshold))).cast("int")
+    lists = cut(several.select("g", F.col("rep").alias("doc"), "n", "place").distinct().withColumn("band", band).withColumn("component", F.col("doc")), "lists")
+    forget(postings, shared)
+
+    copies = stands.where("doc <> rep").select(F.col("rep").alias("a"), F.col("doc").alias("b"))
+    links, joined, seen, pivots = copies, None, None, PIVOTS
+    while not lists.isEmpty():
+        pairs = _cells(lists, pivots, permille)
+        pairs = cut(pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti"), "pairs")
+        if joined is None or not pairs.isEmpty():
+            found = _verified(docs, k, pairs, permille)
+            if joined is None or not found.isEmpty():
+                links = links.unionByName(found)
+                joined = components(links)
+        seen = pairs if seen is None else seen.unionByName(pairs)
+        lists = _still_open(lists, joined, pivots)
+        pivots *= MORE
+    named = (joined if joined is not None else components(links)).withColumnsRenamed({"node": "doc_id", "component": "component_id"})
     return members.select("doc_id", "n_shingles").join(named, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
 
 
