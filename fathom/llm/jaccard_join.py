@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_batches, chunks, cut, dealt_anew, forget, partitions, shingle_sets
@@ -36,8 +36,8 @@ from .graph import components
 
 #: Counters of the sketch, and the blocks in which tasks pass them on. Its size doesn't grow with the data.
 SKETCH, BLOCKS = 1 << 21, 32
-#: Pivots of a column and band of sizes in the first round, and how many times more each next round has.
-PIVOTS, MORE = 1, 16
+#: A column has one pivot for each band of sizes in the first round, and so many times more pivots in each next round.
+MORE = 16
 
 
 def _least(t: float, n: np.ndarray) -> np.ndarray:
@@ -145,7 +145,8 @@ def _multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _verified(docs: DataFrame, k: int, pairs: DataFrame, permille: int) -> DataFrame:
     """The pairs (a, b) that have Jaccard >= t, after their rows are multiplied in full."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    # the ids grow with the corpus: never broadcast, so that the plan is the same at every size
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct().hint("merge")
     sets = cut(docs.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(k), "doc long, shingles binary"), "sets")
     right = pairs.join(sets.withColumnsRenamed({"doc": "b", "shingles": "rows_b"}), "b")
     both = right.join(sets.withColumnsRenamed({"doc": "a", "shingles": "row_a"}), "a")
@@ -163,19 +164,26 @@ def _fits(permille: int) -> str:
 
 
 def _still_open(lists: DataFrame, joined: DataFrame, met: int) -> DataFrame:
-    """The lists that hold two components, and members that were not among the `met` pivots of their band; with current components."""
-    named = lists.drop("component").join(joined.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    """The lists of more than `met` members (m) that hold two components; with current components."""
+    named = lists.drop("component", "m").join(joined.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     named = cut(named, "named")
     spans = named.groupBy("g").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("m"))
-    out = cut(named.join(dealt_anew(spans.where(f"low < high and m > {met} + 1").select("g"), "g"), "g"), "lists")
+    out = cut(named.join(dealt_anew(spans.where(f"low < high and m > {met}").select("g", "m"), "g"), "g"), "lists")
     forget(named, lists)
     return out
 
 
 def _cells(lists: DataFrame, pivots: int, permille: int) -> DataFrame:
-    """Pairs a < b of two components whose places and sizes leave room for a link, one of each being among the pivots of its list and band of sizes."""
-    by = Window.partitionBy("g", "band").orderBy("place", "doc")
-    first = lists.withColumn("rank", F.row_number().over(by)).where(f"rank <= {pivots}")
+    """Pairs a < b of two components whose places and sizes leave room for a link, one of each being a pivot of its list and band of sizes.
+
+    A single pivot is the member with the lowest place; of more, each member of a list is one by
+    the hash of its id: `pivots` of them or so, and all of them where the list has no more.
+    """
+    if pivots == 1:
+        lowest = lists.groupBy("g", "band").agg(F.min(F.struct("place", "doc", "n", "component")).alias("low"))
+        first = lowest.select("g", "band", "low.*")
+    else:
+        first = lists.where(F.pmod(F.xxhash64("doc"), F.col("m")) < pivots)
     first = first.select("g", F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)).alias("band"), "doc", "n", "place", "component")
     cells = lists.alias("a").join(first.alias("b"), ["g", "band"]).where(f"a.doc <> b.doc and a.component <> b.component and {_fits(permille)}")
     return cells.select(F.least("a.doc", "b.doc").alias("a"), F.greatest("a.doc", "b.doc").alias("b")).distinct()
@@ -216,7 +224,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8) -> Data
     forget(postings, shared)
 
     copies = stands.where("doc <> rep").select(F.col("rep").alias("a"), F.col("doc").alias("b"))
-    links, joined, seen, pivots = copies, None, None, PIVOTS
+    links, joined, seen, pivots = copies, None, None, 1
     while not lists.isEmpty():
         pairs = _cells(lists, pivots, permille)
         pairs = cut(pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti"), "pairs")
@@ -226,7 +234,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8) -> Data
                 links = links.unionByName(found)
                 joined = components(links)
         seen = pairs if seen is None else seen.unionByName(pairs)
-        lists = _still_open(lists, joined, pivots)
+        lists = _still_open(lists, joined, max(2, pivots))  # two members have met, one of them being the pivot
         pivots *= MORE
     named = (joined if joined is not None else components(links)).withColumnsRenamed({"node": "doc_id", "component": "component_id"})
     return members.select("doc_id", "n_shingles").join(named, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
