@@ -137,13 +137,18 @@ def _power(kind: str, n: int) -> np.ndarray:
     return _powers[kind][:n]
 
 
-def running_hash(data: np.ndarray) -> np.ndarray:
-    """Prefix sums of a polynomial hash modulo 2^64, one longer than data."""
-    out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * _power("up", max(1, len(data)))[: len(data)], out=out[1:])
+def running_sums(values: np.ndarray) -> np.ndarray:
+    """Prefix sums of a polynomial hash modulo 2^64 of a sequence of numbers, one longer than it."""
+    out = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * _power("up", max(1, len(values)))[: len(values)], out=out[1:])
     return out
 
 
+def running_hash(data: np.ndarray) -> np.ndarray:
+    """running_sums of bytes."""
+    return running_sums(_BYTE[data])
+
+
 def range_hash(running: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
     """A hash of the bytes in [start, stop), wherever they stand."""
     return mix((running[stop] - running[start]) * _power("down", len(running))[start] + (stop - start).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))

@@ -6,7 +6,10 @@ program (fewest configurations that cover the histogram) is solved by multiplica
 weights: lengths that lag behind in coverage weigh more, and a knapsack dynamic
 program finds the configurations of the greatest weight. The solution is rounded down
 to whole sequences; what it leaves is covered again, and the rest packed best-fit.
-The plan then numbers the slots of each length; pieces take the slots by their rank.
+The plan is that, or best-fit alone where it needs fewer sequences. Equal sequences
+are held as one configuration and a count, also by best-fit, so that the plan's size
+depends on the number of lengths, not on the corpus. The plan then numbers the slots
+of each length; pieces take the slots by their rank.
 """
 
 from __future__ import annotations
@@ -20,14 +23,14 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, chunks, cut, documents
+from .common import arrow_batches, chunks, cut, documents, forget, mix, range_hash, running_sums
 
-#: Pieces of a length are ranked in so many parts.
-PARTS = 32
+#: Pieces of a length that are ranked together.
+RANKED = 100_000
 #: Words whose ids a Python worker keeps, and the longest of them in characters.
 CACHE, LONGEST = 300_000, 40
-#: Rounds of multiplicative weights for each of the programs, the programs, and the weights' step.
-ROUNDS, PROGRAMS, STEP = 16, 2, 1.5
+#: Rounds of multiplicative weights in each program, and the weights' step.
+ROUNDS, STEP = (16, 8, 8), 1.5
 
 
 # --- tokens ------------------------------------------------------------------
@@ -35,50 +38,122 @@ ROUNDS, PROGRAMS, STEP = 16, 2, 1.5
 _WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: Texts in this range are composed already and lower-case the same way everywhere; others go to the tokenizer whole.
 _PLAIN = regex.compile(r"[\x00-\xFFŒœ‐-‧€]*")
+_SPACE, _LETTER, _NUMBER, _OTHER = range(4)
+
+
+def _kinds() -> np.ndarray:
+    """For each code point of plain texts whether it is white space, a letter, a number or something else."""
+    out = np.full(0x20AD, _OTHER, np.uint8)
+    for kind, pattern in ((_SPACE, r"\s"), (_LETTER, r"\p{L}"), (_NUMBER, r"\p{N}")):
+        out[[i for i in range(len(out)) if regex.match(pattern, chr(i))]] = kind
+    return out
+
+
+def word_bounds(points: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the matches of _WORDS start and stop in lower-cased code points."""
+    kind = kinds[points]
+    start = (kind != _SPACE) & (kind == _NUMBER)
+    start[:1] |= kind[:1] != _SPACE
+    start[1:] |= (kind[1:] != kind[:-1]) & (kind[1:] != _SPACE)
+    # an apostrophe that begins a run takes one of the endings s, t, m, d, re, ve, ll with it
+    after = np.append(points[1:], [0, 0])
+    mark = np.flatnonzero(start[:-1] & (points[:-1] == 0x27) & (kind[1:] == _LETTER))
+    first, second = after[mark], after[mark + 1]
+    one = np.isin(first, [ord(c) for c in "stmd"])
+    two = ((first == ord("r")) | (first == ord("v"))) & (second == ord("e")) | (first == ord("l")) & (second == ord("l"))
+    for taken, n in ((mark[one], 1), (mark[two], 2)):
+        start[taken + 1] = False
+        behind = taken + n + 1
+        behind = behind[behind < len(start)]
+        start[behind[kind[behind] == _LETTER]] = True
+    space = kind == _SPACE
+    edge = np.append(start | space, True)
+    bounds = np.flatnonzero(edge)
+    begin = np.flatnonzero(start)
+    return begin, bounds[np.searchsorted(bounds, begin) + 1]
 
 
 class Encoder:
-    """Token ids of texts by a tokenizer that works word by word, each distinct word being encoded once."""
+    """Token ids of texts by a tokenizer that works word by word: a batch's words are found and looked up together, unseen ones encoded."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
         model = type(self.tokenizer.model).__name__
         normal = str(self.tokenizer.normalizer)
         self.by_word = model == "BPE" and "Lowercase" in normal and "NFC" in normal and _WORDS.pattern in str(self.tokenizer.pre_tokenizer).replace("\\\\", "\\")
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def __call__(self, texts: list[str]) -> Iterator[bytes]:
-        """Each text's ids, as little-endian unsigned 32-bit numbers."""
-        words = [_WORDS.findall(t.lower()) if self.by_word and _PLAIN.fullmatch(t) else None for t in texts]
-        missing = list({w for own in words if own is not None for w in own if w not in self.known})
-        fresh = dict(zip(missing, self._encode(missing)))
-        for w, ids in fresh.items():
-            if len(self.known) >= CACHE:
-                break
-            if len(w) <= LONGEST:
-                self.known[w] = ids
-        whole = iter(self._encode([t for t, own in zip(texts, words) if own is None]))
-        known = self.known
-        for own in words:
+        self.kinds, self.values = _kinds(), mix(np.arange(1, 0x20AE, dtype=np.uint64))
+        self.known = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32))  # hashes in order, where their ids begin, how many, all ids
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learned(self, hashes: np.ndarray, words: list[str]) -> tuple[np.ndarray, ...]:
+        """The known words and some more, of which short ones stay as long as there is room."""
+        known, begin, many, flat = self.known
+        new = self._encode(words)
+        sizes = np.array([len(x) for x in new], np.int64)
+
+        def merged(own: np.ndarray) -> tuple[np.ndarray, ...]:
+            every = np.concatenate([known, hashes[own]])
+            order = np.argsort(every)
+            ids = np.concatenate([flat, *(new[i] for i in own.tolist())])
+            starts = np.concatenate([begin, len(flat) + np.cumsum(sizes[own]) - sizes[own]])
+            return every[order], starts[order], np.concatenate([many, sizes[own]])[order], ids
+
+        short = np.flatnonzero(np.array([len(w) <= LONGEST for w in words], bool))[: max(0, CACHE - len(known))]
+        self.known = merged(short)
+        return self.known if len(short) == len(words) else merged(np.arange(len(words)))
+
+    def _by_words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        whole = " ".join(texts)
+        points = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
+        at = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        begin, stop = word_bounds(points, self.kinds)
+        hashes = range_hash(running_sums(self.values[points]), begin, stop)
+        table = self.known
+        unseen = np.flatnonzero(~_held(table[0], hashes))
+        if len(unseen):
+            fresh, first = np.unique(hashes[unseen], return_index=True)
+            table = self._learned(fresh, [whole[begin[i] : stop[i]] for i in unseen[first].tolist()])
+        known, starts, many, flat = table
+        if not len(known):
+            return np.zeros(0, np.uint32), np.zeros(len(at), np.int64)
+        place = np.searchsorted(known, hashes)
+        n = many[place]
+        ends = np.cumsum(n)
+        ids = flat[np.repeat(starts[place] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        return ids, np.concatenate([[0], ends])[np.searchsorted(begin, at)]
+
+    def __call__(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """Each text's ids."""
+        lowered = [t.lower() if self.by_word and _PLAIN.fullmatch(t) else None for t in texts]
+        ids, at = self._by_words([t for t in lowered if t is not None])
+        others = iter(self._encode([t for t, own in zip(texts, lowered) if own is None]))
+        plain = iter(zip(at[:-1].tolist(), at[1:].tolist()))
+        for own in lowered:
             if own is None:
-                yield next(whole)
+                yield next(others)
             else:
-                yield b"".join([known[w] if w in known else fresh[w] for w in own])
+                s, e = next(plain)
+                yield ids[s:e]
+
+
+def _held(known: np.ndarray, values: np.ndarray) -> np.ndarray:
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values if len(known) else np.zeros(len(values), bool)
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end: int = 1) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): every text's ids and the id `end`, cut into pieces of `capacity` ids.
 
     Null texts are empty and give one piece with `end` alone. tokenizer is the path of a
-    file for the tokenizers library that every machine has.
+    file for the tokenizers library that every machine has. Every row gives its pieces: rows
+    with a null doc_id keep it, rows that repeat an id repeat its pieces. An empty table
+    gives no rows; other columns are not read.
     """
     arrow_batches(docs.sparkSession)
-    last = np.array([end], "<u4").tobytes()
+    last = np.array([end], "<u4")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = Encoder(tokenizer)
@@ -86,10 +161,10 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end: int
             out: list[list] = [[], [], [], [], []]
             texts = ["" if t is None else t for t in batch.column("text").to_pylist()]
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode(texts)):
-                ids += last
-                for piece, s in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[s : s + 4 * capacity]
-                    for column, value in zip(out, (doc_id, piece, s // 4, len(part) // 4, zlib.crc32(part))):
+                ids = np.concatenate([ids, last], dtype="<u4")
+                for piece, s in enumerate(range(0, len(ids), capacity)):
+                    part = ids[s : s + capacity]
+                    for column, value in zip(out, (doc_id, piece, s, len(part), zlib.crc32(part))):
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), *(pa.array(x, pa.int64()) for x in out[2:])], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
@@ -165,45 +240,42 @@ def _cover(left: np.ndarray, capacity: int, rounds: int) -> list[tuple[dict[int,
 
 
 def _best_fit(left: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
-    """The rest, longest first, each into the fullest sequence that has room; equal lengths go together."""
-    rooms: dict[int, list[dict[int, int]]] = {}
+    """Longest first, each into the fullest sequence that has room; equal sequences are filled together."""
+    rooms: dict[int, list[tuple[dict[int, int], int]]] = {}
     free = np.zeros(capacity + 1, np.int64)  # open sequences by room
-    done = []
     for length in np.flatnonzero(left)[::-1].tolist():
         n = int(left[length])
         while n:
             at = length + int((free[length:] > 0).argmax())
-            if free[at] == 0:
-                own: dict[int, int] = {}
-                at = capacity
+            if free[at]:
+                own, times = rooms[at].pop()
+                free[at] -= times
             else:
-                own = rooms[at].pop()
-                free[at] -= 1
-            fits = min(n, at // length)
-            if own:
-                fits = min(fits, 1 if free[length : at].any() else fits)
-            own[length] = own.get(length, 0) + fits
-            n -= fits
-            at -= fits * length
-            if at:
-                rooms.setdefault(at, []).append(own)
-                free[at] += 1
-            else:
-                done.append((own, 1))
-    return done + [(own, 1) for room in rooms.values() for own in room]
+                at = capacity
+                own, times = {}, -(-n // (capacity // length))
+            fits = at // length  # a sequence that has taken one is the fullest with room, until it has none
+            full, part = divmod(n, fits)
+            if full >= times:
+                full, part = times, 0
+            for many, each in ((full, fits), (int(part > 0), part), (times - full - (part > 0), 0)):
+                if many:
+                    room = at - each * length
+                    rooms.setdefault(room, []).append((own | {length: own.get(length, 0) + each} if each else own, many))
+                    free[room] += many
+            n -= full * fits + part
+    return [(own, many) for room in rooms.values() for own, many in room]
 
 
 def plan(histogram: dict[int, int], capacity: int = 4096) -> list[tuple[dict[int, int], int]]:
     """Configurations {length: number} and how often each is used; together they hold exactly the histogram."""
-    left = np.zeros(capacity + 1, np.int64)
+    every = np.zeros(capacity + 1, np.int64)
     for length, n in histogram.items():
-        left[length] = n
+        every[length] = n
+    left = every.copy()
     out: list[tuple[dict[int, int], int]] = []
-    for _ in range(PROGRAMS):
-        if (np.arange(capacity + 1) * left).sum() <= 64 * capacity:
-            break
+    for rounds in ROUNDS:
         merged: dict[tuple, float] = {}
-        for own, x in _cover(left, capacity, ROUNDS):
+        for own, x in _cover(left, capacity, rounds):
             key = tuple(sorted(own.items()))
             merged[key] = merged.get(key, 0.0) + x
         for key, x in sorted(merged.items(), key=lambda m: -m[1]):
@@ -212,7 +284,9 @@ def plan(histogram: dict[int, int], capacity: int = 4096) -> list[tuple[dict[int
                 for length, a in key:
                     left[length] -= n * a
                 out.append((dict(key), n))
-    return out + _best_fit(left, capacity)
+    out += _best_fit(left, capacity)
+    plain = _best_fit(every, capacity)
+    return min(out, plain, key=lambda p: sum(n for _, n in p))
 
 
 def _slots(configurations: list[tuple[dict[int, int], int]], capacity: int) -> dict[str, np.ndarray]:
@@ -241,9 +315,12 @@ def pack(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
     """
     spark = pieces.sparkSession
     names = [c for c in pieces.columns if c.lower() not in ("sequence_id", "offset")]
-    pieces = cut(pieces.select(*names, F.pmod(F.xxhash64(*names), F.lit(PARTS)).cast("int").alias("_part")), "pieces")
+    pieces = cut(pieces.select(*names), "pieces")
+    histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # `capacity` numbers
+    # a length is ranked in as many parts as its most common one needs
+    parts = max(1, -(-max(histogram.values(), default=0) // RANKED))
+    pieces = pieces.withColumn("_part", F.pmod(F.xxhash64(*names), F.lit(parts)).cast("int"))
     counts = pieces.groupBy("length", "_part").count()
-    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("count").alias("n")).collect()}  # `capacity` numbers
     shared = spark.sparkContext.broadcast(_slots(plan(histogram, capacity), capacity))
     before = Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("length", "_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
