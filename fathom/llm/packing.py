@@ -27,8 +27,8 @@ from .common import arrow_batches, chunks, cut, documents, forget, mix, range_ha
 
 #: Pieces of a length that are ranked together.
 RANKED = 100_000
-#: Words whose ids a Python worker keeps, and the longest of them in characters.
-CACHE, LONGEST = 300_000, 40
+#: Words whose ids a Python worker keeps (in a table of twice as many slots, a power of two), and the slots in which a word may lie.
+CACHE, PROBES = 1 << 20, 8
 #: Rounds of multiplicative weights in each program, and the weights' step.
 ROUNDS, STEP = (16, 8, 8), 1.5
 
@@ -36,16 +36,17 @@ ROUNDS, STEP = (16, 8, 8), 1.5
 # --- tokens ------------------------------------------------------------------
 
 _WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-#: Texts in this range are composed already and lower-case the same way everywhere; others go to the tokenizer whole.
-_PLAIN = regex.compile(r"[\x00-\xFFŒœ‐-‧€]*")
-_SPACE, _LETTER, _NUMBER, _OTHER = range(4)
+#: Characters that are composed already and lower-case the same way everywhere; texts with others go to the tokenizer whole.
+_PLAIN = regex.compile(r"[\x00-\xFFŒœ‐-‧€]")
+_SPACE, _LETTER, _NUMBER, _OTHER, _FOREIGN = range(5)
 
 
 def _kinds() -> np.ndarray:
-    """For each code point of plain texts whether it is white space, a letter, a number or something else."""
-    out = np.full(0x20AD, _OTHER, np.uint8)
+    """For each code point up to the last plain one, and one more for all beyond: white space, letter, number, something else, or not plain."""
+    out = np.full(0x20AE, _OTHER, np.uint8)
     for kind, pattern in ((_SPACE, r"\s"), (_LETTER, r"\p{L}"), (_NUMBER, r"\p{N}")):
         out[[i for i in range(len(out)) if regex.match(pattern, chr(i))]] = kind
+    out[[i for i in range(len(out)) if not _PLAIN.match(chr(i))]] = _FOREIGN
     return out
 
 
@@ -73,6 +74,45 @@ def word_bounds(points: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.n
     return begin, bounds[np.searchsorted(bounds, begin) + 1]
 
 
+class WordTable:
+    """A hash table of words' ids, looked up for many words at once. Words that find no slot are just not kept."""
+
+    def __init__(self):
+        self.keys = np.zeros(2 * CACHE, np.uint64)
+        self.start, self.many = np.zeros(2 * CACHE, np.int64), np.zeros(2 * CACHE, np.int32)
+        self.flat, self.held = np.zeros(0, np.uint32), 0
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Each hash's slot, or -1."""
+        mask = np.uint64(len(self.keys) - 1)
+        out, open_ones = np.full(len(hashes), -1, np.int64), np.arange(len(hashes))
+        for probe in range(PROBES):
+            slot = ((hashes[open_ones] + np.uint64(probe)) & mask).astype(np.int64)
+            found = self.keys[slot]
+            hit = found == hashes[open_ones]
+            out[open_ones[hit]] = slot[hit]
+            open_ones = open_ones[~hit & (found != 0)]
+            if not len(open_ones):
+                break
+        return out
+
+    def keep(self, hashes: np.ndarray, ids: np.ndarray, many: np.ndarray) -> None:
+        """Distinct new hashes, with all their ids side by side."""
+        mask = np.uint64(len(self.keys) - 1)
+        start = len(self.flat) + np.cumsum(many) - many
+        self.flat = np.concatenate([self.flat, ids])
+        open_ones = np.flatnonzero(hashes != 0)
+        for probe in range(PROBES):
+            slot = ((hashes[open_ones] + np.uint64(probe)) & mask).astype(np.int64)
+            free = np.flatnonzero(self.keys[slot] == 0)
+            _, first = np.unique(slot[free], return_index=True)
+            own = free[first]
+            at, word = slot[own], open_ones[own]
+            self.keys[at], self.start[at], self.many[at] = hashes[word], start[word], many[word]
+            self.held += len(own)
+            open_ones = np.delete(open_ones, own)
+
+
 class Encoder:
     """Token ids of texts by a tokenizer that works word by word: a batch's words are found and looked up together, unseen ones encoded."""
 
@@ -83,65 +123,56 @@ class Encoder:
         model = type(self.tokenizer.model).__name__
         normal = str(self.tokenizer.normalizer)
         self.by_word = model == "BPE" and "Lowercase" in normal and "NFC" in normal and _WORDS.pattern in str(self.tokenizer.pre_tokenizer).replace("\\\\", "\\")
-        self.kinds, self.values = _kinds(), mix(np.arange(1, 0x20AE, dtype=np.uint64))
-        self.known = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32))  # hashes in order, where their ids begin, how many, all ids
+        suffix = (getattr(self.tokenizer.model, "end_of_word_suffix", None) or "") if self.by_word else ""
+        self.ends_word = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.ends_word[i] = bool(suffix) and token.endswith(suffix)
+        self.kinds = _kinds()
+        lower = np.arange(len(self.kinds), dtype=np.uint32)
+        for i in np.flatnonzero(self.kinds < _FOREIGN).tolist():
+            lower[i] = ord(chr(i).lower())
+        self.lower, self.values = lower, mix(np.arange(1, len(lower) + 1, dtype=np.uint64))
+        self.table = WordTable()
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learned(self, hashes: np.ndarray, words: list[str]) -> tuple[np.ndarray, ...]:
-        """The known words and some more, of which short ones stay as long as there is room."""
-        known, begin, many, flat = self.known
-        new = self._encode(words)
-        sizes = np.array([len(x) for x in new], np.int64)
-
-        def merged(own: np.ndarray) -> tuple[np.ndarray, ...]:
-            every = np.concatenate([known, hashes[own]])
-            order = np.argsort(every)
-            ids = np.concatenate([flat, *(new[i] for i in own.tolist())])
-            starts = np.concatenate([begin, len(flat) + np.cumsum(sizes[own]) - sizes[own]])
-            return every[order], starts[order], np.concatenate([many, sizes[own]])[order], ids
-
-        short = np.flatnonzero(np.array([len(w) <= LONGEST for w in words], bool))[: max(0, CACHE - len(known))]
-        self.known = merged(short)
-        return self.known if len(short) == len(words) else merged(np.arange(len(words)))
-
-    def _by_words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        whole = " ".join(texts)
-        points = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
-        at = np.cumsum([0, *(len(t) + 1 for t in texts)])
-        begin, stop = word_bounds(points, self.kinds)
-        hashes = range_hash(running_sums(self.values[points]), begin, stop)
-        table = self.known
-        unseen = np.flatnonzero(~_held(table[0], hashes))
-        if len(unseen):
-            fresh, first = np.unique(hashes[unseen], return_index=True)
-            table = self._learned(fresh, [whole[begin[i] : stop[i]] for i in unseen[first].tolist()])
-        known, starts, many, flat = table
-        if not len(known):
-            return np.zeros(0, np.uint32), np.zeros(len(at), np.int64)
-        place = np.searchsorted(known, hashes)
-        n = many[place]
-        ends = np.cumsum(n)
-        ids = flat[np.repeat(starts[place] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)]
-        return ids, np.concatenate([[0], ends])[np.searchsorted(begin, at)]
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the words side by side, and how many each has: encoded as one text where the ids show the words' ends."""
+        (ids,) = self._encode([" ".join(words)])
+        ends = np.flatnonzero(self.ends_word[ids]) + 1
+        if len(ends) == len(words) and (not len(ids) or ends[-1] == len(ids)):
+            return ids, np.diff(ends, prepend=0)
+        each = self._encode(words)
+        return np.concatenate(each), np.array([len(x) for x in each], np.int64)
 
     def __call__(self, texts: list[str]) -> Iterator[np.ndarray]:
         """Each text's ids."""
-        lowered = [t.lower() if self.by_word and _PLAIN.fullmatch(t) else None for t in texts]
-        ids, at = self._by_words([t for t in lowered if t is not None])
-        others = iter(self._encode([t for t, own in zip(texts, lowered) if own is None]))
-        plain = iter(zip(at[:-1].tolist(), at[1:].tolist()))
-        for own in lowered:
-            if own is None:
-                yield next(others)
-            else:
-                s, e = next(plain)
-                yield ids[s:e]
-
-
-def _held(known: np.ndarray, values: np.ndarray) -> np.ndarray:
-    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values if len(known) else np.zeros(len(values), bool)
+        whole = "\n".join(texts)
+        points = np.minimum(np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32), len(self.kinds) - 1)
+        at = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        foreign = np.ones(len(texts), bool)
+        if self.by_word:
+            foreign = np.diff(np.searchsorted(np.flatnonzero(self.kinds[points] == _FOREIGN), at)) > 0
+        others = iter(self._encode([t for t, own in zip(texts, foreign.tolist()) if own]))
+        begin, stop = word_bounds(self.lower[points], self.kinds)
+        begin, stop = (x[~foreign[np.searchsorted(at, begin, side="right") - 1]] for x in (begin, stop))
+        hashes = range_hash(running_sums(self.values[self.lower[points]]), begin, stop)
+        slot = self.table.find(hashes)
+        start, many, flat = self.table.start[slot], self.table.many[slot].astype(np.int64), self.table.flat
+        unseen = np.flatnonzero(slot < 0)
+        if len(unseen):
+            fresh, first, back = np.unique(hashes[unseen], return_index=True, return_inverse=True)
+            ids, n = self._words([whole[a:b] for a, b in zip(begin[unseen[first]].tolist(), stop[unseen[first]].tolist())])
+            start[unseen], many[unseen] = (len(flat) + np.cumsum(n) - n)[back], n[back]
+            if self.table.held < CACHE:
+                self.table.keep(fresh, ids, n)
+            flat = np.concatenate([flat, ids])
+        last = np.cumsum(many)
+        ids = flat[np.repeat(start - (last - many), many) + np.arange(int(last[-1]) if len(last) else 0)]
+        place = np.concatenate([[0], last])[np.searchsorted(begin, at)].tolist()
+        for i, own in enumerate(foreign.tolist()):
+            yield next(others) if own else ids[place[i] : place[i + 1]]
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end: int = 1) -> DataFrame:
@@ -274,6 +305,8 @@ def plan(histogram: dict[int, int], capacity: int = 4096) -> list[tuple[dict[int
     left = every.copy()
     out: list[tuple[dict[int, int], int]] = []
     for rounds in ROUNDS:
+        if not left.any():
+            break
         merged: dict[tuple, float] = {}
         for own, x in _cover(left, capacity, rounds):
             key = tuple(sorted(own.items()))
