@@ -13,6 +13,8 @@ blocks, so far as size bounds leave cells to fill:
    a cell is filled only if both places keep to the bound of the two sizes.
 3. What is left is multiplied in full: blocks of rows against one row's columns.
 
+Tables that grow with the corpus are joined by merging at every size, never broadcast.
+
 A column of thousands of near copies isn't expanded into all pairs. Its members meet
 its pivots first: in each band of sizes the member in which the column has the first
 place, that is, with the fewest shingles of its own. These links are verified and
@@ -143,13 +145,14 @@ def _multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), batch.column("na"), batch.column("nb"), pa.array(overlap)], ["a", "b", "na", "nb", "overlap"])
 
 
-def _verified(docs: DataFrame, k: int, pairs: DataFrame, permille: int) -> DataFrame:
-    """The pairs (a, b) that have Jaccard >= t, after their rows are multiplied in full."""
-    # the ids grow with the corpus: never broadcast, so that the plan is the same at every size
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct().hint("merge")
+def _verified(docs: DataFrame, k: int, pairs: DataFrame, permille: int, many: bool) -> DataFrame:
+    """The pairs (a, b) that have Jaccard >= t, after their rows are multiplied in full. `many`: the pairs grow with the corpus."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    if many:
+        pairs, wanted = pairs.hint("merge"), wanted.hint("merge")
     sets = cut(docs.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(k), "doc long, shingles binary"), "sets")
     right = pairs.join(sets.withColumnsRenamed({"doc": "b", "shingles": "rows_b"}), "b")
-    both = right.join(sets.withColumnsRenamed({"doc": "a", "shingles": "row_a"}), "a")
+    both = (right.hint("merge") if many else right).join(sets.withColumnsRenamed({"doc": "a", "shingles": "row_a"}), "a")
     both = both.select("a", "b", (F.octet_length("row_a") / 8).cast("long").alias("na"), (F.octet_length("rows_b") / 8).cast("long").alias("nb"), "row_a", "rows_b")
     counted = both.mapInArrow(_multiply, "a long, b long, na long, nb long, overlap long")
     links = cut(counted.where(f"1000 * overlap >= {permille} * (na + nb - overlap)").select("a", "b"), "verified")
@@ -165,7 +168,7 @@ def _fits(permille: int) -> str:
 
 def _still_open(lists: DataFrame, joined: DataFrame, met: int) -> DataFrame:
     """The lists of more than `met` members (m) that hold two components; with current components."""
-    named = lists.drop("component", "m").join(joined.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    named = lists.drop("component", "m").join(joined.withColumnRenamed("node", "doc").hint("merge"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     named = cut(named, "named")
     spans = named.groupBy("g").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("m"))
     out = cut(named.join(dealt_anew(spans.where(f"low < high and m > {met}").select("g", "m"), "g"), "g"), "lists")
@@ -217,7 +220,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8) -> Data
     postings = cut(docs.mapInArrow(_prefixes(k, threshold, levels), "g long, doc long, n int, place int"), "columns")
     levels.unpersist()
     shared = cut(postings.groupBy("g").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("g"), "shared")
-    several = postings.join(shared, "g").join(stands.withColumnRenamed("n_shingles", "n"), ["doc", "n"])
+    several = postings.join(shared.hint("merge"), "g").join(stands.withColumnRenamed("n_shingles", "n").hint("merge"), ["doc", "n"])
     # bands of sizes such that sets that may link lie in the same or in neighbouring bands
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1 / threshold))).cast("int")
     lists = cut(several.select("g", F.col("rep").alias("doc"), "n", "place").distinct().withColumn("band", band).withColumn("component", F.col("doc")), "lists")
@@ -229,7 +232,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8) -> Data
         pairs = _cells(lists, pivots, permille)
         pairs = cut(pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti"), "pairs")
         if joined is None or not pairs.isEmpty():
-            found = _verified(docs, k, pairs, permille)
+            found = _verified(docs, k, pairs, permille, pivots == 1)
             if joined is None or not found.isEmpty():
                 links = links.unionByName(found)
                 joined = components(links)
