@@ -90,29 +90,35 @@ def search_block(q: np.ndarray, q_ids: np.ndarray, c: np.ndarray, c_ids: np.ndar
 def exact_topk(queries: DataFrame, candidates: DataFrame, k: int = 20) -> DataFrame:
     """(query_id, rank, vec_id, score): for each of queries(vec_id, vector) the k candidates with the highest integer inner product.
 
-    vector is an array of whole numbers (as double); all have one length. Ties go to the smaller
-    vec_id; a candidate with the query's own vec_id is the query itself. Null ids and null vectors
-    take no part. Fewer than k candidates: all of them. Empty inputs give no rows.
+    vector is an array of whole numbers (as double). Vectors of another length than the query's
+    are no candidates. Ties go to the smaller vec_id; a candidate with the query's own vec_id is
+    the query itself. Rows that repeat a vec_id are queries and candidates of their own. Null
+    ids, null and empty vectors, and vectors with null or non-finite components take no part.
+    Fewer than k candidates: all of them. Empty inputs give no rows; other columns are not read.
     """
-    spark = queries.sparkSession
-    queries = cut(queries.where("vec_id is not null and vector is not null").select("vec_id", "vector"), "queries")
-    candidates = cut(candidates.where("vec_id is not null and vector is not null").select("vec_id", "vector"), "candidates")
+    sound = "vec_id is not null and size(vector) > 0 and not exists(vector, x -> x is null or isnan(x) or abs(x) = double('infinity'))"
+    queries = cut(queries.where(sound).select("vec_id", "vector", F.monotonically_increasing_id().alias("query")), "queries")
+    candidates = cut(candidates.where(sound).select("vec_id", "vector", F.monotonically_increasing_id().alias("place")), "candidates")
     rows, columns = max(1, -(-queries.count() // QUERIES)), max(1, -(-candidates.count() // CANDIDATES))
     # each query block meets each candidate block once
-    q = queries.withColumn("row", F.pmod(F.xxhash64("vec_id"), F.lit(rows)).cast("int")).withColumn("col", F.explode(F.sequence(F.lit(0), F.lit(columns - 1))))
-    c = candidates.withColumn("col", F.pmod(F.xxhash64("vec_id"), F.lit(columns)).cast("int")).withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))))
+    q = queries.withColumn("row", F.pmod(F.xxhash64("query"), F.lit(rows)).cast("int")).withColumn("col", F.explode(F.sequence(F.lit(0), F.lit(columns - 1))))
+    c = candidates.withColumn("col", F.pmod(F.xxhash64("place"), F.lit(columns)).cast("int")).withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))))
 
     def cell(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
-        ids = left.vec_id.to_numpy()
-        at, found, score = search_block(_matrix(left.vector), ids, _matrix(right.vector), right.vec_id.to_numpy(), k)
-        return pd.DataFrame({"query_id": ids[at], "vec_id": found, "score": score.astype(np.int64)})
+        out = [pd.DataFrame({"query": [], "query_id": [], "vec_id": [], "score": []}, dtype="int64")]
+        lengths = right.vector.map(len) if len(right) else None
+        for length, own in left.groupby(left.vector.map(len)) if len(right) else ():
+            others = right[lengths == length]
+            if len(others):
+                ids = own.vec_id.to_numpy()
+                at, found, score = search_block(_matrix(own.vector), ids, _matrix(others.vector), others.vec_id.to_numpy(), k)
+                out.append(pd.DataFrame({"query": own["query"].to_numpy()[at], "query_id": ids[at], "vec_id": found, "score": score.astype(np.int64)}))
+        return pd.concat(out)
 
     cells = rows * columns
     q, c = q.repartition(min(cells, 100_000), "row", "col"), c.repartition(min(cells, 100_000), "row", "col")
-    hits = q.groupBy("row", "col").cogroup(c.groupBy("row", "col")).applyInPandas(cell, "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    hits = q.groupBy("row", "col").cogroup(c.groupBy("row", "col")).applyInPandas(cell, "query long, query_id long, vec_id long, score long")
+    best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     return hits.withColumn("rank", F.row_number().over(best)).where(f"rank <= {k}").select("query_id", "rank", "vec_id", "score")
 
 

@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from .common import cut, documents, partitions
 
-#: Parts in which a shard is ordered, so that no task orders a whole shard.
-PARTS = 64
+#: Rows that a task orders: blocks, and the parts of a shard, are so many that they hold no more on average.
+ORDERED = 1_000_000
 
 
 def hypergeometric(rng: random.Random, good: int, bad: int, drawn: int) -> int:
@@ -73,16 +73,20 @@ def communication_matrix(blocks: list[int], shards: int, seed: int) -> list[list
 def shuffle_into_shards(rows: DataFrame, shards: int = 8, seed: int = 1) -> DataFrame:
     """rows with shard (0 to shards - 1) and slot (gapless from 0 in each shard), a uniform shuffle by `seed`.
 
-    Takes rows(doc_id, ...) and keeps all columns but `_`-prefixed ones of its own. Shard
-    sizes differ by one at most. Null ids are shuffled like others; rows that agree in all
-    columns are interchangeable. With fewer rows than shards some shards stay empty; an
-    empty table gives no rows. The same rows and seed give the same result for the same
-    number of blocks (four for each shuffle partition).
+    Keeps all columns; `shard` and `slot` are replaced, and names that begin with an underscore
+    are this function's own. Shard sizes differ by one at most. Each row is shuffled by itself:
+    null and repeated ids, equal texts and rows that agree in all columns go wherever the
+    permutation takes them, so that copies of a text spread over the shards and no group of
+    them meets in one task. With fewer rows than shards some shards stay empty; an empty table
+    gives no rows. The same files, read in the same partitions, and the same seed give the same
+    result.
     """
     spark = rows.sparkSession
-    blocks = max(shards, 4 * partitions(spark))
-    names = rows.columns
-    keyed = cut(rows.select("*", F.xxhash64(F.lit(seed), *names).alias("_key")).withColumn("_block", F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.lit(blocks)).cast("int")), "rows")
+    names = [c for c in rows.columns if c.lower() not in ("shard", "slot")]
+    keyed = cut(rows.select(*names, F.xxhash64(F.lit(seed), F.monotonically_increasing_id(), *names).alias("_key")), "rows")
+    total = keyed.count()
+    blocks = max(shards, 4 * partitions(spark), -(-total // ORDERED))
+    keyed = keyed.withColumn("_block", F.pmod(F.xxhash64(F.lit(seed + 1), "_key"), F.lit(blocks)).cast("int"))
     counts = dict(keyed.groupBy("_block").count().collect())  # a number for each block: `blocks` at most
     matrix = communication_matrix([counts.get(b, 0) for b in range(blocks)], shards, seed)
     ends = []
@@ -97,11 +101,12 @@ def shuffle_into_shards(rows: DataFrame, shards: int = 8, seed: int = 1) -> Data
     first = Window.partitionBy("_block").orderBy("_key", *names)
     sent = keyed.withColumn("_rank", F.row_number().over(first) - 1).join(F.broadcast(dealt), "_block")
     sent = sent.withColumn("shard", F.expr("size(filter(_ends, x -> x <= _rank))")).drop("_block", "_rank", "_ends")
+    bits = 6 + (total // (shards * 64 * ORDERED)).bit_length()  # 64 parts of a shard, or more
     again = F.xxhash64(F.lit(seed + 2), "_key", "shard")
-    sent = cut(sent.withColumn("_key", again).withColumn("_part", F.shiftright(F.col("_key"), 64 - int(math.log2(PARTS))).cast("int")), "sent")
+    sent = cut(sent.withColumn("_key", again).withColumn("_part", F.shiftright(F.col("_key"), 64 - bits).cast("int")), "sent")
     sizes = sent.groupBy("shard", "_part").count()
     before = Window.partitionBy("shard").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("shard", "_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))  # shards x PARTS rows
+    offsets = sizes.select("shard", "_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))  # a row for each part of a shard
     second = Window.partitionBy("shard", "_part").orderBy("_key", *names)
     placed = sent.withColumn("_rank", F.row_number().over(second) - 1).join(F.broadcast(offsets), ["shard", "_part"])
     return placed.select(*names, "shard", (F.col("_before") + F.col("_rank")).alias("slot"))
