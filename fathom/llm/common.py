@@ -16,9 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that one NumPy pass takes at once; bounds a Python worker's memory.
-CHUNK_BYTES = 2 << 20
-#: Rows in an Arrow batch that goes to a Python worker, where the session has not chosen another number.
-BATCH_ROWS = 2000
+CHUNK_BYTES = 1 << 19
+#: Rows and bytes in an Arrow batch that goes to a Python worker, where the session has not chosen others.
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 
 _MASK = (1 << 64) - 1
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -30,10 +30,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def arrow_batches(spark: SparkSession) -> None:
-    """Keeps batches small where the session has Spark's own setting: texts can be long."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key, "10000") == "10000":
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Keeps batches small where the session has Spark's own settings: texts can be long.
+
+    The settings stay, since a query runs after the function that builds it has returned.
+    """
+    for key, usual, own in (("maxRecordsPerBatch", "10000", BATCH_ROWS), ("maxBytesPerBatch", "67108864b", f"{BATCH_BYTES}b")):
+        key = "spark.sql.execution.arrow." + key
+        if spark.conf.get(key, usual) == usual:
+            spark.conf.set(key, str(own))
 
 
 def shared_folder(spark: SparkSession) -> str:
