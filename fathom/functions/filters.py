@@ -10,6 +10,7 @@ test but ne.
 from __future__ import annotations
 
 from collections.abc import Iterable
+from datetime import datetime
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -59,6 +60,8 @@ def _variant_equal(v: Column, value) -> Column:
     kind = F.schema_of_variant(v)
     if value is None:
         return kind == "VOID"
+    if isinstance(value, datetime):
+        return F.coalesce(F.try_variant_get(v, "$", "timestamp") == F.lit(value), F.lit(False))
     if isinstance(value, bool):
         return (kind == "BOOLEAN") & (F.try_variant_get(v, "$", "boolean") == F.lit(value))
     if isinstance(value, int):
@@ -72,6 +75,8 @@ def _variant_ordered(v: Column, op: str, value) -> Column:
     kind = F.schema_of_variant(v)
     if isinstance(value, bool):
         return (kind == "BOOLEAN") & ORDERED[op](F.try_variant_get(v, "$", "boolean"), F.lit(value))
+    if isinstance(value, datetime):
+        return ORDERED[op](F.try_variant_get(v, "$", "timestamp"), F.lit(value))
     if isinstance(value, (int, float)):
         numeric = kind.startswith("DECIMAL") | kind.isin("BIGINT", "DOUBLE", "FLOAT")
         return numeric & ORDERED[op](F.try_variant_get(v, "$", "double"), F.lit(float(value)))

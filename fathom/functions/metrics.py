@@ -5,10 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 METRICS = ("l2", "cosine", "dot")
+#: Literal vectors of no more dimensions are written out term by term; longer ones would outgrow generated code.
+WRITTEN_OUT = 16
 
 
 def _item(v: Column, i: int) -> Column:
@@ -19,8 +22,14 @@ def _sum(terms: list[Column]) -> Column:
     return reduce(lambda a, b: a + b, terms, F.lit(0.0))
 
 
+def _query(q: Column | Sequence[float]) -> Column | Sequence[float]:
+    """A literal vector as one array constant, where it is too long to be written out."""
+    return q if isinstance(q, Column) or len(q) <= WRITTEN_OUT else F.lit(np.asarray(q, np.float64))
+
+
 def dot(v: Column, q: Column | Sequence[float]) -> Column:
-    """Inner product. With a literal vector the sum is written out, so that it stays inside generated code."""
+    """Inner product. With a short literal vector the sum is written out, so that it stays inside generated code."""
+    q = _query(q)
     if isinstance(q, Column):
         return F.aggregate(F.zip_with(v, q, lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
     return _sum([_item(v, i) * F.lit(float(x)) for i, x in enumerate(q)])
@@ -31,8 +40,9 @@ def norm(v: Column) -> Column:
 
 
 def l2_distance(v: Column, q: Column | Sequence[float]) -> Column:
+    q = _query(q)
     if isinstance(q, Column):
-        return F.sqrt(F.aggregate(F.zip_with(v, q, lambda a, b: F.pow(a.cast("double") - b.cast("double"), F.lit(2.0))), F.lit(0.0), lambda s, x: s + x))
+        return F.sqrt(F.aggregate(F.zip_with(v, q, lambda a, b: a.cast("double") - b.cast("double")), F.lit(0.0), lambda s, x: s + x * x))
     parts = [_item(v, i) - F.lit(float(x)) for i, x in enumerate(q)]
     return F.sqrt(_sum([p * p for p in parts]))
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.filters import compile_filter
 from ..functions.metrics import cosine, dot, l2_distance, score
+from ..plans import selectivity
 
 #: Queries and rows that a task of a batched search holds at a time; more go in further blocks.
 QUERY_BLOCK, ROW_BLOCK = 1024, 4096
@@ -58,6 +59,21 @@ def search(table: DataFrame, query: Sequence[float], k: int, metric: str = "cosi
     return top(passes.join(F.broadcast(best), "id").select("id", "score"), k)
 
 
+def planned_search(table: DataFrame, query: Sequence[float], k: int, where: dict, metric: str = "cosine", cardinalities: dict[str, int] | None = None) -> DataFrame:
+    """search with a filter, which comes first or last by the share of rows that it is estimated to keep.
+
+    Filtering last tests only the best rows; where these leave fewer than k, the filter comes first after all, so the result is exact.
+    """
+    _check(k)
+    if selectivity.strategy(where, cardinalities) == "filter_last":
+        most = selectivity.overfetch(selectivity.estimate(where, cardinalities), k)
+        held = table.where(F.size("embedding") == len(query)).select(F.col("vec_id").alias("id"), F.round(score(metric, F.col("embedding"), query), 6).alias("score"), compile_filter(where, table).alias("passes"))
+        rows = [(r["id"], r["score"]) for r in top(held, most).where("passes").limit(k).collect()]  # k rows
+        if len(rows) == k:
+            return top(table.sparkSession.createDataFrame(rows, "id long, score double"), k)
+    return search(table, query, k, metric, where)
+
+
 def search_by_group(table: DataFrame, query: Sequence[float], k: int, group: str, metric: str = "cosine") -> DataFrame:
     """The k best rows of each group: (group, rank, id, score)."""
     _check(k)

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Callable, Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.filters import compile_filter
@@ -19,33 +20,51 @@ def term_counts(docs: DataFrame, text: str = "text", id_column: str = "doc_id",
     return words.groupBy("row", "term").agg(F.count("*").alias("tf")).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
-def _occurrences(words: str, term: str) -> Column:
-    return F.size(F.filter(words, lambda w: w == F.lit(term)))
+_WORD = r"[\p{IsAlphabetic}\p{N}]"
 
 
-def bm25(docs: DataFrame, query: Sequence[str], k1: float = 1.2, b: float = 0.75, where: dict | None = None, text: str = "text", id_column: str = "doc_id", analyzer: Callable[[Column], Column] = tokens) -> DataFrame:
+def _as_term(term: str) -> str:
+    """A pattern for a term as a whole word of the plain tokenizer: A-Z match in either case. A term that it can't give matches nothing."""
+    own = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in term)
+    return f"(?i)(?<!{_WORD})\\Q{term}\\E(?!{_WORD})" if own == term and term else "(?!)"
+
+
+def _counts(docs: DataFrame, terms: list[str], text: Column, analyzer: Callable[[Column], Column], length: bool) -> list[Column]:
+    """tf0, tf1, ... of the terms, with `length` dl before them. The plain tokenizer's words are counted where they stand, without making them."""
+    if analyzer is tokens:
+        text = F.coalesce(text, F.lit(""))
+        return [*([F.regexp_count(text, F.lit(_WORD + "+")).alias("dl")] if length else []), *(F.regexp_count(text, F.lit(_as_term(t))).alias(f"tf{i}") for i, t in enumerate(terms))]
+    words = analyzer(text)
+    return [*([F.size(words).alias("dl")] if length else []), *(F.size(F.filter(words, lambda w, t=t: w == F.lit(t))).alias(f"tf{i}") for i, t in enumerate(terms))]
+
+
+def bm25(docs: DataFrame, query: Sequence[str], k1: float = 1.2, b: float = 0.75, where: dict | None = None, text: str | Sequence[str] = "text", id_column: str = "doc_id", analyzer: Callable[[Column], Column] = tokens) -> DataFrame:
     """(id, score) of all documents that hold a query term; a term given twice counts twice.
 
-    Statistics come from all documents whatever the filter; they are one row of sums, so
-    ranking shuffles nothing.
+    `text` may name several columns, whose texts are joined by spaces, nulls left out.
+    Statistics come from all documents whatever the filter, in one pass; they are one row of
+    sums, so ranking shuffles nothing. Only documents that hold a term are measured again.
     """
     terms = Counter(query)
-    keep = compile_filter(where, docs) if where else F.lit(True)
-    rows = docs.select(F.col(id_column).alias("id"), keep.alias("keep"), analyzer(F.col(text)).alias("words"))
-    tf = [_occurrences("words", t).alias(f"tf{i}") for i, t in enumerate(terms)]
-    rows = rows.select("id", "keep", F.size("words").alias("dl"), *tf)
+    whole = F.col(text) if isinstance(text, str) else F.concat_ws(" ", *text)
     if not terms:
-        return rows.where(F.lit(False)).select("id", F.lit(0.0).alias("score"))
-    stats = rows.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *(F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(terms)))).first()
+        return docs.where(F.lit(False)).select(F.col(id_column).alias("id"), F.lit(0.0).alias("score"))
+    names = list(terms)
+    hit = reduce(lambda x, y: x | y, [F.col(f"tf{i}") > 0 for i in range(len(names))])
+    stats = docs.select(*_counts(docs, names, whole, analyzer, True)).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *(F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(terms)))).first()
     average = stats["avgdl"] or 1.0
+    rows = docs.where(compile_filter(where, docs)) if where else docs
+    if analyzer is tokens:
+        any_term = "|".join(_as_term(t) for t in names)
+        rows = rows.where(F.coalesce(whole, F.lit("")).rlike(any_term))
+    rows = rows.select(F.col(id_column).alias("id"), *_counts(docs, names, whole, analyzer, True)).where(hit)
     total = F.lit(0.0)
     for i, times in enumerate(terms.values()):
         df = F.lit(stats[f"df{i}"] or 0)
         idf = F.log((F.lit(stats["n"]) - df + 0.5) / (df + 0.5) + 1.0)
         f = F.col(f"tf{i}").cast("double")
         total = total + F.when(f > 0, idf * f * (k1 + 1) / (f + k1 * (1 - b + b * F.col("dl") / F.lit(average))) * times).otherwise(0.0)
-    hit = F.greatest(*(F.col(f"tf{i}") for i in range(len(terms))), F.lit(0)) > 0
-    return rows.where(F.col("keep") & hit).select("id", F.round(total, 6).alias("score"))
+    return rows.select("id", F.round(total, 6).alias("score"))
 
 
 def bm25_search(docs: DataFrame, query: Sequence[str], k: int, **options) -> DataFrame:
@@ -56,22 +75,20 @@ def bm25_search(docs: DataFrame, query: Sequence[str], k: int, **options) -> Dat
 
 def _normalised(side: DataFrame, name: str) -> DataFrame:
     """A side's few results, scores scaled to 0 to 1; all 1 where they agree."""
-    ends = side.agg(F.min("score").alias("low"), F.max("score").alias("high"))
-    spread = F.col("high") - F.col("low")
-    scaled = F.when(F.abs(spread) < 1.1920929e-07, 1.0).otherwise((F.col("score") - F.col("low")) / spread)
-    return side.join(F.broadcast(ends), F.col("score") >= F.col("low")).select("id", F.col("score").alias(name), scaled.alias(f"{name}_scaled"))
+    every = Window.partitionBy(F.lit(0))  # 2k rows
+    low, high = F.min("score").over(every), F.max("score").over(every)
+    scaled = F.when(F.abs(high - low) < 1.1920929e-07, 1.0).otherwise((F.col("score") - low) / (high - low))
+    return side.select("id", F.col("score").alias(name), scaled.alias(f"{name}_scaled"))
 
 
-def hybrid(table: DataFrame, query: Sequence[str], vector: Sequence[float], k: int, text_weight: float = 0.5, vector_weight: float = 0.5, where: dict | None = None, fusion: str = "weighted", metric: str = "cosine") -> DataFrame:
+def hybrid(table: DataFrame, query: Sequence[str], vector: Sequence[float], k: int, text_weight: float = 0.5, vector_weight: float = 0.5, where: dict | None = None, fusion: str = "weighted", metric: str = "cosine", **text_options) -> DataFrame:
     """(id, bm25_score, vector_score, score): each side's best 2k, scaled and summed by weight; a missing side adds 0.
 
-    fusion="rrf" sums 1 / (60 + rank) instead.
+    text_options go to bm25 (analyzer, text, k1, b). fusion="rrf" sums 1 / (60 + rank) instead.
     """
-    text_side = bm25_search(table, query, 2 * k, where=where)
+    text_side = bm25_search(table, query, 2 * k, where=where, **text_options)
     vector_side = knn.search(table, vector, 2 * k, metric, where, id_column="doc_id")
     if fusion == "rrf":
-        from pyspark.sql import Window
-
         rank = F.row_number().over(Window.orderBy(F.desc("score"), "id"))  # 2k rows
         left = text_side.select("id", F.col("score").alias("bm25_score"), (1.0 / (60 + rank)).alias("bm25_score_scaled"))
         right = vector_side.select("id", F.col("score").alias("vector_score"), (1.0 / (60 + rank)).alias("vector_score_scaled"))

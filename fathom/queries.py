@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,6 +71,12 @@ for _n, (_f, _w) in _FILTERS.items():
 _add("knn_overfetch", _knn(where=_FILTERS["eq"][0], overfetch=4), f"select id, score from (select vec_id id, label, {_S['cosine']} score from embeddings e, {_Q0} order by score desc, id limit {4 * K}) where label = 3 {_TOP}")
 
 
+_DATE = {"op": "and", "filters": [{"op": "gte", "field": "ts", "value": datetime(2024, 1, 5, tzinfo=timezone.utc)}, {"op": "lt", "field": "ts", "value": datetime(2024, 1, 12, tzinfo=timezone.utc)}]}
+for _n in ("eq", "range"):
+    _add(f"knn_planned_{_n}", (lambda f: lambda s, d: knn.planned_search(e := _table(s, d, "embeddings"), knn.vector_of(e, 0), K, f, cardinalities={"label": 20}))(_FILTERS[_n][0]), _SQL[f"knn_filter_{_n}"])
+_add("filter_timestamp", lambda s, d: (e := _table(s, d, "events")).where(compile_filter(_DATE, e)).select("event_id", "ts"), "select event_id, ts from events where ts >= timestamp '2024-01-05' and ts < timestamp '2024-01-12'")
+
+
 #: The rows that ask: all whose id is divisible by 100; the first twenty only in the small samples named knn_batch_*.
 _ASKED, _FIRST = "vec_id % 100 = 0", "vec_id < 20"
 
@@ -215,6 +222,9 @@ for _n, _t, _o, _w in (("topk", _TERMS, {}, "true"), ("repeat_terms", ["inin", "
     _add(f"bm25_{_n}", _bm25(_t, **_o), f"with {_bm25_sql(_t, _o.get('k1', 1.2), _o.get('b', 0.75), _w)} select id, score from bm {_TOP}")
 
 
+_add("bm25_fields", lambda s, d: text_search.bm25_search(_table(s, d, "documents"), ["inin", "fr"], K, text=["lang", "text", "source"]), f"with {_bm25_sql(['inin', 'fr'], source="(select doc_id, lang, concat_ws(' ', lang, text, source) as text from documents)")} select id, score from bm {_TOP}")
+
+
 def _collection(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
     return _table(spark, sf_dir, "documents").select("doc_id", "lang", "text").join(vectors, "doc_id")
