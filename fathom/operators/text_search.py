@@ -20,20 +20,26 @@ def term_counts(docs: DataFrame, text: str = "text", id_column: str = "doc_id",
     return words.groupBy("row", "term").agg(F.count("*").alias("tf")).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
-_WORD = r"[\p{IsAlphabetic}\p{N}]"
+_LETTERS = r"a-zA-Z0-9\p{IsAlphabetic}\p{N}"
+_WORD = f"[{_LETTERS}]"
 
 
 def _as_term(term: str) -> str:
     """A pattern for a term as a whole word of the plain tokenizer: A-Z match in either case. A term that it can't give matches nothing."""
     own = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in term)
-    return f"(?i)(?<!{_WORD})\\Q{term}\\E(?!{_WORD})" if own == term and term else "(?!)"
+    return f"(?i)\\Q{term}\\E(?!{_WORD})(?<!{_WORD}\\Q{term}\\E)" if own == term and term else "(?!)"
+
+
+def _length(text: Column) -> Column:
+    """How many words the plain tokenizer finds: each, with what is beside it, is made one character."""
+    return F.when(text.rlike(_WORD), F.length(F.regexp_replace(text, f"(?:^[^{_LETTERS}]++)?{_WORD}++[^{_LETTERS}]*+", "x"))).otherwise(0)
 
 
 def _counts(docs: DataFrame, terms: list[str], text: Column, analyzer: Callable[[Column], Column], length: bool) -> list[Column]:
     """tf0, tf1, ... of the terms, with `length` dl before them. The plain tokenizer's words are counted where they stand, without making them."""
     if analyzer is tokens:
         text = F.coalesce(text, F.lit(""))
-        return [*([F.regexp_count(text, F.lit(_WORD + "+")).alias("dl")] if length else []), *(F.regexp_count(text, F.lit(_as_term(t))).alias(f"tf{i}") for i, t in enumerate(terms))]
+        return [*([_length(text).alias("dl")] if length else []), *(F.regexp_count(text, F.lit(_as_term(t))).alias(f"tf{i}") for i, t in enumerate(terms))]
     words = analyzer(text)
     return [*([F.size(words).alias("dl")] if length else []), *(F.size(F.filter(words, lambda w, t=t: w == F.lit(t))).alias(f"tf{i}") for i, t in enumerate(terms))]
 
