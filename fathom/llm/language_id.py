@@ -150,7 +150,7 @@ def phrases(symbols: np.ndarray, at: np.ndarray, table: tuple[np.ndarray, np.nda
         following = target[slot]
         ended = np.flatnonzero(owns[slot] != state[:n])
         if len(ended):
-            count[ended] += 1
+            count[ended] += state[ended] > 0
             slot = base[0] + symbol[ended]
             following[ended] = target[slot]
             lost = ended[owns[slot] != 0]  # a symbol that the language lacks is a phrase of its own
