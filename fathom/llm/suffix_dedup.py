@@ -2,19 +2,24 @@
 
 Bucket-pointer refinement orders suffixes by bucketing them on their first q bytes
 and refining each bucket by the buckets in which the suffixes at later offsets lie;
-a bucket with one member is never touched again. Only the first 50 bytes of a
-suffix matter here, and only whether its bucket holds a smaller document, so:
+a bucket with one member is never touched again. A bucket's identifier here is a hash
+of the bytes that its members share, so that every task knows the identifier at any
+offset of its own texts without asking another. Only the first 50 bytes of a suffix
+matter, and only whether its bucket holds a smaller document, so:
 
 1. Initial q-gram buckets (q = 20). Of the positions in each 50-byte window one is
    enough, if equal windows choose equal positions: the window's smallest q-gram
-   hash. A bucket is refined if it holds two documents.
-2. Refinement by the later and earlier offsets as far as any window around the
-   position reaches (80 bytes): members of one refined bucket share all their
-   windows, so that all but the smallest document lose them whole.
+   identifier. A bucket is refined if it holds two documents.
+2. Members of a bucket are sorted by the identifiers of later and earlier offsets, as far
+   as any window around the position reaches (80 bytes): the identifiers of two q-grams
+   20 bytes apart give that of 40 bytes, and the updated identifiers are used again for
+   the whole reach. Members of one refined bucket share all their windows, so that all
+   but the smallest document lose them whole.
 3. Only the smallest document of each refined bucket goes on, if its q-gram bucket
    split. A window holds the 15 bytes before its position, or the 15 bytes after its
    q-gram (both at once in one case): so the 35-byte buckets on the left and on the
-   right are refined, each to the 50-byte buckets of its windows.
+   right (two q-grams 15 bytes apart) are refined, each to the 50-byte buckets of its
+   windows (40 bytes and the q-gram at offset 30).
 
 Why this ends at depth 50: two equal 50-byte windows choose the same position, so
 they meet in one q-gram bucket. Either they lie in one refined bucket (2), or the
@@ -62,6 +67,26 @@ NORMAL, SETTLED, SPREAD = 0, 1, 2  # kinds of blocks
 COVERED, OPEN, MASKS = 1, 2, 3  # what a document's places are
 
 
+# --- bucket identifiers ------------------------------------------------------
+
+
+def _grams(data: np.ndarray) -> np.ndarray:
+    """The identifier of the initial bucket at each position that a q-gram starts at."""
+    at = np.arange(max(0, len(data) - Q + 1))
+    return range_hash(running_hash(data), at, at + Q)
+
+
+def _refined_by(own: np.ndarray, later: np.ndarray) -> np.ndarray:
+    """Identifiers of buckets refined by the identifiers at a later offset: equal where both are."""
+    return mix(mix(own ^ np.uint64(0xA0761D6478BD642F)) * np.uint64(0xE7037ED1A0B428DB) + later)
+
+
+def _reach(grams: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Identifiers of the bytes [low, high), 2 * Q to 4 * Q of them: of 2 * Q bytes at both ends, which overlap, and the length."""
+    twice = lambda at: _refined_by(grams[at], grams[at + Q])
+    return _refined_by(_refined_by(twice(low), twice(high - 2 * Q)), (high - low).astype(np.uint64))
+
+
 # --- positions ---------------------------------------------------------------
 
 
@@ -86,14 +111,12 @@ def _chosen(data: np.ndarray, at: np.ndarray, begin: int = 0, end: int | None =
     windows = windows[(windows >= begin) & (windows < (len(data) if end is None else end))]
     if not len(windows):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    running = running_hash(data)
-    grams = np.arange(len(data) - Q + 1)
-    hashes = range_hash(running, grams, grams + Q)
-    own = _smallest(hashes)[windows]
+    grams = _grams(data)
+    own = _smallest(grams)[windows]
     own = own[np.concatenate([[True], own[1:] != own[:-1]])]
     text = np.searchsorted(at, own, side="right") - 1
     low, high = np.maximum(own - (WINDOW - 1), at[text]), np.minimum(own + LENGTH, at[text + 1])
-    return own, text, hashes[own], mix(range_hash(running, low, high) ^ (own - low).astype(np.uint64))
+    return own, text, grams[own], _refined_by(_reach(grams, low, high), (own - low).astype(np.uint64))
 
 
 def positions(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -274,7 +297,7 @@ def _sides(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not len(text):
             continue
         here = np.concatenate(own) + at[text]
-        running = running_hash(data)
+        grams = _grams(data)
         low, high = np.maximum(here - (WINDOW - 1), at[text]), np.minimum(here + LENGTH, at[text + 1])
         raw = data.tobytes()
         for salt, begin, end, core, close in (
@@ -284,7 +307,7 @@ def _sides(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             full = np.flatnonzero((core >= begin) & (close <= end) & (end - begin >= LENGTH))
             if not len(full):
                 continue
-            key = mix(range_hash(running, core[full], close[full]) + np.uint64(salt)).view(np.int64)
+            key = mix(_refined_by(grams[core[full]], grams[close[full] - Q]) + np.uint64(salt)).view(np.int64)
             pieces = [raw[x:y] for x, y in zip(begin[full].tolist(), end[full].tolist())]
             own_text = pa.array(text[full])
             yield pa.RecordBatch.from_arrays([pa.array(key), batch.column("doc_id").take(own_text), batch.column("print").take(own_text), pa.array(begin[full] - at[text[full]]), pa.array(pieces, pa.binary())], ["key", "doc_id", "print", "start", "bytes"])
@@ -297,7 +320,7 @@ def _windows(key: np.ndarray, column) -> tuple[np.ndarray, np.ndarray, np.ndarra
     row = np.repeat(np.arange(len(many)), many)
     inner = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
     begin = at[row] + inner
-    return row, inner, mix(range_hash(running_hash(data), begin, begin + LENGTH) ^ mix(key.view(np.uint64))[row])
+    return row, inner, _refined_by(_reach(_grams(data), begin, begin + LENGTH), key.view(np.uint64)[row])
 
 
 def _refine(table: pa.Table) -> pa.Table:

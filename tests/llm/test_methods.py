@@ -281,6 +281,24 @@ def family(n=150):
     return rows + [(n, None), (n + 1, ""), (n + 2, "One two"), (n + 3, "one TWO"), (3, rows[3][1]), (n + 4, "one two three")]
 
 
+
+def test_refined_identifiers_tell_byte_ranges_apart():
+    """Ranges have equal identifiers where their bytes are equal, of every length that is refined, and no others."""
+    rng = np.random.default_rng(5)
+    data = np.tile(rng.integers(97, 99, 400, dtype=np.uint8), 3)
+    data[450] ^= 1
+    grams = suffix_dedup._grams(data)
+    raw = data.tobytes()
+    for n in (40, 41, 50, 65, 79, 80):
+        low = np.arange(len(data) - n + 1)
+        own = suffix_dedup._reach(grams, low, low + n)
+        named: dict[bytes, set[int]] = {}
+        for x, i in zip(low.tolist(), own.tolist()):
+            named.setdefault(raw[x : x + n], set()).add(i)
+        assert all(len(v) == 1 for v in named.values())
+        assert len(set(own.tolist())) == len(named)
+
+
 @pytest.mark.parametrize("k, threshold", [(3, 0.9), (5, 0.8)])
 def test_near_copies_that_are_not_copies_of_the_smallest(spark, k, threshold):
     rows = family()
