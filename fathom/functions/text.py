@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import string
+from collections.abc import Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -43,10 +44,11 @@ def english_stem(t: Column) -> Column:
     )
 
 
-def english(text: Column) -> Column:
+def english(text: Column, stop_words: Iterable[str] = STOP_WORDS, stemming: bool = True, shortest: int = 2, longest: int = 50) -> Column:
     """English analysis: words of 2 to 50 bytes in lower case, without stop words, stemmed."""
-    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{IsAlphabetic}\p{N}]+"), lambda t: F.octet_length(t).between(2, 50) & ~t.isin(STOP_WORDS))
-    return F.filter(F.transform(words, english_stem), lambda t: t != "")
+    stop = sorted({w.lower() for w in stop_words})
+    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{IsAlphabetic}\p{N}]+"), lambda t: F.octet_length(t).between(max(1, shortest), longest) & ~(t.isin(stop) if stop else F.lit(False)))
+    return F.filter(F.transform(words, english_stem), lambda t: t != "") if stemming else words
 
 
 def detect_language(text: Column) -> Column:

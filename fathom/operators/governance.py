@@ -17,6 +17,13 @@ def violations(used: DataFrame, max_bytes: int) -> DataFrame:
     return used.where(F.col("n_bytes") > max_bytes).select("tenant", "n_bytes", (F.col("n_bytes") - max_bytes).alias("over"))
 
 
+def over_quota(used: DataFrame, quotas: DataFrame) -> DataFrame:
+    """(tenant, quota, used, most) of every limit that a tenant exceeds: quotas is tenant and columns max_X, used has X for each; null limits and tenants without a row are free."""
+    limits = [c for c in quotas.columns if c.startswith("max_")]
+    one = F.explode(F.array(*(F.struct(F.lit(c[4:]).alias("quota"), F.col(c[4:]).cast("long").alias("used"), F.col(c).cast("long").alias("most")) for c in limits))).alias("limit")
+    return used.join(quotas, "tenant").select("tenant", one).select("tenant", "limit.*").where(F.col("used") > F.col("most"))
+
+
 def requests_by_second(log: DataFrame, ts: str, tenant: str, most: int) -> DataFrame:
     """Requests of each tenant in each second, and how many of them are over the limit."""
     counted = log.groupBy(F.col(tenant).alias("tenant"), F.date_trunc("second", ts).alias("second")).agg(F.count("*").alias("n"))

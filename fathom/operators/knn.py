@@ -138,6 +138,24 @@ def batch_search(table: DataFrame, queries: DataFrame, k: int, metric: str = "co
     return _met(own(queries, "query_id"), own(table, "id"), k, metric)
 
 
+def batch_search_where(table: DataFrame, queries: DataFrame, k: int, filters: Sequence[dict | None], metric: str = "cosine", overfetch: bool = False) -> DataFrame:
+    """batch_search with a filter for each query: queries(vec_id, embedding, filter), `filter` being a place in `filters` (None there: all rows).
+
+    A row goes only to the queries whose filter it passes. With `overfetch` each query's best
+    max(4 k, k + 50) rows are tested instead, so there may be fewer than k results.
+    """
+    _check(k)
+    conditions = [F.lit(True) if f is None else compile_filter(f, table) for f in filters]
+    passed = F.explode(F.filter(F.array(*(F.when(c, F.lit(i).cast("long")) for i, c in enumerate(conditions))), lambda g: g.isNotNull()))
+    asked = queries.select(F.col("vec_id").cast("long").alias("query_id"), F.col("embedding").alias("vector"), F.col("filter").cast("long").alias("g"))
+    if not overfetch:
+        return _met(asked, table.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").alias("vector"), passed.alias("g")), k, metric)
+    best = batch_search(table, queries, max(4 * k, k + 50), metric).drop("rank").join(asked.select("query_id", "g"), "query_id")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    kept = best.join(table.select(F.col("vec_id").cast("long").alias("id"), passed.alias("g")), ["id", "g"])
+    return kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+
+
 # --- inverted lists ----------------------------------------------------------
 
 
@@ -225,4 +243,4 @@ def quantize(table: DataFrame, ranges: DataFrame, bits: int = 8) -> DataFrame:
     return coded.withColumn("decoded", F.transform("code", lambda c, i: F.get(low, i) + F.get(step, i) * c))
 
 
-__all__ = ["assign", "batch_search", "centroids", "cosine", "dot", "fit_centroids", "ivf_search", "l2_distance", "probe", "quantize", "search", "search_by_group", "train_quantizer", "vector_of"]
+__all__ = ["assign", "batch_search", "batch_search_where", "centroids", "cosine", "dot", "fit_centroids", "ivf_search", "l2_distance", "probe", "quantize", "search", "search_by_group", "train_quantizer", "vector_of"]

@@ -41,7 +41,11 @@ def _counts(docs: DataFrame, terms: list[str], text: Column, analyzer: Callable[
         text = F.coalesce(text, F.lit(""))
         return [*([_length(text).alias("dl")] if length else []), *(F.regexp_count(text, F.lit(_as_term(t))).alias(f"tf{i}") for i, t in enumerate(terms))]
     words = analyzer(text)
-    return [*([F.size(words).alias("dl")] if length else []), *(F.size(F.filter(words, lambda w, t=t: w == F.lit(t))).alias(f"tf{i}") for i, t in enumerate(terms))]
+
+    def count(term: str) -> Column:
+        return F.size(F.filter(words, lambda w: w == F.lit(term)))
+
+    return [*([F.size(words).alias("dl")] if length else []), *(count(t).alias(f"tf{i}") for i, t in enumerate(terms))]
 
 
 def bm25(docs: DataFrame, query: Sequence[str], k1: float = 1.2, b: float = 0.75, where: dict | None = None, text: str | Sequence[str] = "text", id_column: str = "doc_id", analyzer: Callable[[Column], Column] = tokens) -> DataFrame:

@@ -8,6 +8,7 @@ from datetime import datetime, timezone
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import arabic
 from .functions import text as T
 from .functions.filters import compile_filter
 from .functions.metrics import cosine, norm
@@ -102,6 +103,33 @@ _add("knn_batch_filtered", _batch("cosine", True), _batch_sql("cosine", "e.label
 _add("knn_all_filtered", _batch("cosine", True, _ASKED), _batch_sql("cosine", "e.label = q.label", _ASKED))
 
 
+#: Filters of a batch in which each query has its own, and what they are in SQL.
+_OWN = [({"op": "eq", "field": "label", "value": 3}, "e.label = 3"), ({"op": "or", "filters": [{"op": "lt", "field": "label", "value": 2}, {"op": "gt", "field": "vec_id", "value": 300}]}, "(e.label < 2 or e.vec_id > 300)"), (None, "true")]
+
+
+def _batch_where(overfetch: bool):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        e = _table(spark, sf_dir, "embeddings")
+        asked = e.where(_ASKED).withColumn("filter", F.floor(F.col("vec_id") / 100) % len(_OWN))
+        return knn.batch_search_where(e, asked, K, [f for f, _ in _OWN], overfetch=overfetch)
+
+    return run
+
+
+def _batch_where_sql(overfetch: bool) -> str:
+    passes = " ".join(f"when {i} then {w}" for i, (_, w) in enumerate(_OWN))
+    scores = f"select query_id, f, e.vec_id, e.label, {_S['cosine']} score from embeddings e, q"
+    if overfetch:
+        scores = f"select * from ({scores}) qualify row_number() over (partition by query_id order by score desc, vec_id) <= {max(4 * K, K + 50)}"
+    return f"""with q as (select vec_id query_id, embedding::double[] v, (vec_id // 100) % {len(_OWN)} f from embeddings where {_ASKED}), e as ({scores})
+    select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int rank, vec_id id, score from e where case f {passes} end
+    qualify row_number() over (partition by query_id order by score desc, vec_id) <= {K}"""
+
+
+_add("knn_all_own_filters", _batch_where(False), _batch_where_sql(False))
+_add("knn_all_own_filters_last", _batch_where(True), _batch_where_sql(True))
+
+
 def knn_per_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _table(spark, sf_dir, "embeddings")
     return knn.search_by_group(e, knn.vector_of(e, 0), 3, "label")
@@ -196,6 +224,18 @@ _add("filter_geo_box", filter_geo_box, "select c_custkey from customer where c_a
 _add("metadata_flatten", lambda s, d: _table(s, d, "events").select("event_id", F.explode(changelog.flatten(F.col("props"))).alias("e")).select("event_id", F.col("e.key").alias("path"), F.col("e.value").alias("value")), "select event_id, unnest(json_keys(props)) path, props->>'$.k' as value from events")
 _add("field_cardinality", lambda s, d: _table(s, d, "events").groupBy("event_type").agg(F.count_distinct(F.get_json_object("props", "$.k")).alias("n_values"), F.count("*").alias("n")), "select event_type, count(distinct props->>'$.k') n_values, count(*) n from events group by 1")
 
+
+
+def metadata_flatten_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths and values of events as nested objects with an array of objects inside."""
+    nested = F.to_json(F.struct(F.struct("event_type", F.from_json("props", "k long").alias("props")).alias("attrs"), F.array(F.struct("user_id"), F.struct(F.col("event_id").alias("user_id"))).alias("seen")))
+    return _table(spark, sf_dir, "events").select("event_id", F.explode(changelog.flatten_nested(nested)).alias("e")).select("event_id", "e.*")
+
+
+_add("metadata_flatten_nested", metadata_flatten_nested, """select event_id, 'attrs.event_type' path, event_type as value from events where event_type is not null union all
+    select event_id, 'attrs.props.k', props->>'$.k' from events where props->>'$.k' is not null union all
+    select event_id, 'seen.user_id', user_id::varchar from events where user_id is not null union all select event_id, 'seen.user_id', event_id::varchar from events""")
+
 # --- text --------------------------------------------------------------------
 
 _TOKENS = r"list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\p{L}\p{N}]+'), lambda t: t <> '')"
@@ -275,6 +315,26 @@ _add("english_terms_all", _english("true"), _english_sql(_ENGLISH_ALL))
 _add("detect_language", lambda s, d: _table(s, d, "documents").select("doc_id", T.detect_language(F.col("text")).alias("detected")), r"""select doc_id, case when 2 * length(regexp_replace(text, '[^\x{600}-\x{6FF}]', '', 'g')) > letters then 'arabic' when 2 * length(regexp_replace(text, '[^a-zA-Z]', '', 'g')) > letters then 'english' else 'universal' end detected
     from (select doc_id, text, length(regexp_replace(text, '[^\p{L}]', '', 'g')) letters from documents)""")
 
+#: The texts have no Arabic: their letters a-z are written as Arabic ones, so that prefixes, endings and forms of letters occur.
+_ARABIC = "ابتةجحخهذرزسوكينعلمفقأيىؤإ"
+
+
+def arabic_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.translate(F.lower("text"), "abcdefghijklmnopqrstuvwxyz", _ARABIC)
+    return _table(spark, sf_dir, "documents").select(F.explode(arabic.stems(arabic.words(text))).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+
+
+def _cases(begins: bool, *rules: tuple[str, int]) -> str:
+    part = "right(w, length(w) - {n})" if begins else "left(w, length(w) - {n})"
+    tests = " ".join(f"when {'starts_with' if begins else 'ends_with'}(w, '{affix}') and length(w) >= {least} then {part.format(n=len(affix))}" for affix, least in rules)
+    return f"case {tests} else w end"
+
+
+_add("arabic_stems", arabic_stems, f"""with t as (select unnest(regexp_extract_all(translate(translate(lower(text), 'abcdefghijklmnopqrstuvwxyz', '{_ARABIC}'), 'أإىةؤ', 'اايهو'), '[\\x{{600}}-\\x{{6FF}}a-zA-Z0-9]+')) w from documents),
+    p as (select w word, {_cases(True, ('ال', 3), ('وال', 4), ('و', 3), ('بال', 4), ('كال', 4), ('لل', 4), ('لال', 4))} w from t where length(w) between 2 and 50),
+    s as (select word, {_cases(False, ('ات', 4), ('ون', 4), ('ين', 4), ('ان', 4), ('ه', 3), ('ي', 3), ('ها', 4))} w from p)
+    select case when length(w) < 2 then word else w end term, count(*) n from s group by 1""")
+
 # --- change logs, tenants, tiers, shards -------------------------------------
 
 

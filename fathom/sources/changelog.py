@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,8 +22,15 @@ def latest(log: DataFrame, key: str = "id", seq: str = "seq") -> DataFrame:
     return compact(log, key, seq).where(F.col("op") != "delete")
 
 
-def upsert(table: DataFrame, changes: DataFrame, key: str = "id") -> DataFrame:
-    """table with `changes` in place of its rows of the same keys."""
+def insert(table: DataFrame, rows: DataFrame, key: str = "id") -> DataFrame:
+    """table with the rows whose key it lacks, one of each key."""
+    return table.unionByName(rows.dropDuplicates([key]).join(table.select(key), key, "left_anti").select(*table.columns))
+
+
+def upsert(table: DataFrame, changes: DataFrame, key: str = "id", seq: str | None = None) -> DataFrame:
+    """table with `changes` in place of its rows of the same keys. Of several changes of a key the last by `seq` counts; `seq` itself is left out where table lacks it."""
+    if seq is not None:
+        changes = compact(changes, key, seq).select(*table.columns)
     return table.join(changes.select(key), key, "left_anti").select(*table.columns).unionByName(changes)
 
 
@@ -57,6 +68,37 @@ def flatten(payload: Column) -> Column:
     return F.map_entries(F.from_json(payload, "map<string,string>"))
 
 
+def _entries(value, path: str) -> Iterator[dict]:
+    if isinstance(value, dict):
+        for k, v in value.items():
+            yield from _entries(v, f"{path}.{k}" if path else k)
+    elif isinstance(value, list):
+        for v in value:
+            yield from _entries(v, path)
+    else:
+        yield {"path": path, "value": str(value).lower() if isinstance(value, bool) else value}
+
+
+def flatten_nested(payload: Column) -> Column:
+    """(path, value) entries of a JSON text of any depth: dotted paths, each element of an array at the array's own path, numbers as they are written.
+
+    Python, for no expression of a fixed size reaches every depth. Null and broken JSON have no entries, null values stay.
+    """
+
+    def entries(text: str | None) -> list[dict]:
+        try:
+            value = json.loads(text, parse_float=str, parse_int=str, parse_constant=str) if text else {}
+        except (ValueError, RecursionError):
+            return []
+        return list(_entries(value, ""))
+
+    @F.pandas_udf("array<struct<path:string,value:string>>")
+    def every(texts: pd.Series) -> pd.Series:
+        return texts.map(entries)
+
+    return every(payload)
+
+
 def valid(table: DataFrame, dimension: int, required: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """The rows that keep to the schema (an id, vectors of the dimension, required texts), and those that don't."""
     good = F.col("id").isNotNull() & F.col("vector").isNotNull() & (F.size("vector") == dimension)
