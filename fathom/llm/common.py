@@ -105,6 +105,7 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             stop = max(start + 1, int(np.searchsorted(sizes, done + limit, side="right")))
             yield batch.slice(start, stop - start)
             start, done = stop, int(sizes[stop - 1])
+        pa.default_memory_pool().release_unused()
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -137,7 +138,10 @@ def _power(kind: str, n: int) -> np.ndarray:
     if len(_powers[kind]) < n:
         steps = np.full(1 << (n - 1).bit_length(), _BASE if kind == "up" else _BASE_INVERSE, np.uint64)
         steps[0] = 1
-        _powers[kind] = np.multiply.accumulate(steps)
+        powers = np.multiply.accumulate(steps)
+        if n > 2 * CHUNK_BYTES:  # a single long text: not kept for the worker's life
+            return powers[:n]
+        _powers[kind] = powers
     return _powers[kind][:n]
 
 
