@@ -306,6 +306,54 @@ def test_near_copies_that_are_not_copies_of_the_smallest(spark, k, threshold):
     assert got == plain_classes(rows, k, round(threshold * 1000))
 
 
+def test_members_without_a_partner(monkeypatch):
+    """Members stay where one of another component fits, whatever batches the lists come in; long lists stay whole."""
+    monkeypatch.setattr(jaccard_join, "SEARCHED", 40)
+    rng = np.random.default_rng(8)
+    rows = []
+    for g in range(300):
+        m = int(rng.integers(1, 9)) if g % 10 else int(rng.integers(20, 60))
+        for n in sorted(rng.integers(1, 60, m).tolist()):
+            rows.append((g, len(rows), n, int(rng.integers(0, n // 5 + 1)), 0, int(rng.integers(0, m + 2)), m))
+    names = ["g", "doc", "n", "place", "band", "component", "m"]
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+    schema = pa.schema([pa.field(c, t, nullable=c != "m") for c, t in zip(names, types)])  # a count has no nulls
+    whole = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], schema=schema)
+
+    def fit(a, b):
+        need = -(-900 * (a[2] + b[2]) // 1900)
+        return a[5] != b[5] and a[2] - a[3] >= need and b[2] - b[3] >= need
+
+    want = []
+    for g in range(300):
+        members = [r for r in rows if r[0] == g]
+        stay = [a for a in members if any(fit(a, b) for b in members)] if members[0][6] <= 40 else members
+        want += [(*r[:6], len(stay) if members[0][6] <= 40 else r[6]) for r in stay]
+    assert 0 < len(want) < len(rows)
+    for size in (1, 7, 100, len(rows)):
+        got = list(jaccard_join._without_lone(900)(whole.slice(i, size) for i in range(0, len(rows), size)))
+        assert all(b.schema == schema for b in got)  # whole and searched lists meet in one task
+        assert sorted(tuple(r.values()) for b in got for r in b.to_pylist()) == sorted(want)
+
+
+def test_lists_without_room_make_no_pivots(spark, monkeypatch):
+    """Sixty phrases, each in five texts too different in size to link: no round takes their lists up."""
+    sizes = (60, 90, 135, 200, 300)
+    bodies = [" ".join(f"s{n}w{i}" for i in range(n)) for n in sizes]
+    rows = [(5 * g + i, f"{body} p{g} q{g} r{g}") for g in range(60) for i, body in enumerate(bodies)]
+    taken, cells = [], jaccard_join._cells
+
+    def counted(lists, pivots, permille):
+        mixed = lists.groupBy("g").agg(F.count_distinct(F.col("doc") % 5).alias("sizes")).where("sizes > 1")
+        taken.append((pivots, mixed.count()))
+        return cells(lists, pivots, permille)
+
+    monkeypatch.setattr(jaccard_join, "_cells", counted)
+    got = sorted(tuple(r) for r in jaccard_join.near_duplicates(frame(spark, rows), 3, 0.9).collect())
+    assert got == plain_classes(rows, 3, 900)
+    assert taken and not any(n for _, n in taken), taken
+
+
 # --- search and shards -------------------------------------------------------
 
 
